@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, mixing, mpeg, packing, topk, urls
+from . import html, language, mixing, mpeg, near, packing, topk, urls
 from . import secrets as secret_scan
 from .common import read
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.jaccard_join(read(spark, sf_dir, "documents"), spark)
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, spark)
 
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), spark).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op3_html, op4_secrets, op5_language, op6_urls, op7_mpeg, op8_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_topk, op3_html, op4_secrets, op5_language, op6_urls, op7_mpeg, op8_packing, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_topk": """
