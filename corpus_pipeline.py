@@ -1,2 +1,71 @@
-STAGES=[];ORACLE_SQL=None
-def run(s,d): pass
+"""A corpus pipeline of five of the operators, each stage over all that the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import language, mixing, near, packing, secrets
+from tessera.llm.common import read, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document stays if this share of its letters is in the language it is labelled with by the model.
+LEAST_SHARE = 0.5
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language is undetermined or holds less than half of their letters."""
+    docs = docs.select(*COLUMNS)
+    model = language.learned(docs)
+    found = language.label(docs, spark, model, keep=COLUMNS)
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that with the least doc_id, of each group of near copies; rows without an id stay."""
+    docs = docs.select(*COLUMNS)
+    drop = table(near.jaccard_join(docs, spark).where("doc_id <> class_id").select(F.col("doc_id").alias("d")).distinct(), spark)
+    # Rows that share a doc_id are one document: the least text stands for it.
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d"))
+    twice = table(twice.join(drop, "d", "left_anti"), spark)
+    once = docs.join(drop.union(twice), F.col("doc_id") == F.col("d"), "left_anti")
+    least = docs.join(twice, F.col("doc_id") == F.col("d"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    return once.unionByName(least.select("doc_id", "r.*"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret by a mark; n_chars follows the text."""
+    found = secrets.scan_secrets(docs.select(*COLUMNS), keep=COLUMNS)
+    text = F.when(F.col("n_spans") > 0, F.col("redacted")).otherwise(F.col("text"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_spans") > 0, F.length("redacted")).otherwise(F.col("n_chars")).cast("bigint").alias("n_chars"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat every document as often as the mix takes it; those it takes no times go."""
+    return mixing.repeated(docs.select(*COLUMNS), spark)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack into sequences of at most 4096 tokens: a row for each piece, with its ids."""
+    import public_tokenizers
+
+    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", by_language),
+    ("near copies", without_copies),
+    ("secrets", without_secrets),
+    ("mix", mixed),
+    ("pack", packed),
+]
+#: No SQL: tested against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), spark)
+    return STAGES[-1][1](spark, docs, sf_dir)

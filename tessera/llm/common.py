@@ -51,6 +51,12 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def carried(df: DataFrame, keep: tuple[str, ...]) -> tuple[list[str], str]:
+    """Columns to pass through beside those an operator reads, and their part of a schema."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return list(keep), "".join(f"{c} {kinds[c]}, " for c in keep)
+
+
 def words(text: str | None) -> list[bytes]:
     """The runs of bytes other than space and 0x09 to 0x0D."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

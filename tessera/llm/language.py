@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunked
+from .common import carried, chunked
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -180,14 +180,16 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
 SCHEMA = "doc_id bigint, lang_pred string, score double, spans string"
 
 
-def label(docs: DataFrame, spark: SparkSession, model: Model, penalty: float = SWITCH) -> DataFrame:
+def label(docs: DataFrame, spark: SparkSession, model: Model, penalty: float = SWITCH, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, spans for each row of docs (doc_id, text); spans are lang:words, comma-joined.
 
     Null texts, and texts without letters, are `und` with score 0, and so is all text if no language
     was learned. If no word is in a script that a language uses, the first language by name is
     reported with score 0. Ties go to the first language by name. Repeated rows give repeated rows; a
-    null doc_id stays null; other columns are not read. Texts are labelled whole.
+    null doc_id stays null; other columns are not read, but those that keep names are carried along.
+    Texts are labelled whole.
     """
+    rest, schema = carried(docs, tuple(c for c in keep if c != "doc_id"))
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +218,10 @@ def label(docs: DataFrame, spark: SparkSession, model: Model, penalty: float = S
                     if total[i]:
                         j = int(told[i].argmax())
                         pred[i], share[i], spans[i] = model.langs[j], float(told[i, j] / total[i]), ",".join(parts[i])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, pa.string())], names=[*rest, "doc_id", "lang_pred", "score", "spans"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    kept = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(c for c in rest if c != "text"))
+    return kept.mapInArrow(run, schema + SCHEMA)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunked, table, words
@@ -34,8 +34,13 @@ def sizes(docs: DataFrame) -> DataFrame:
 
     kept = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(source as string) source", "cast(text as string) text")
     out = kept.mapInArrow(count, "doc_id bigint, source string, size bigint")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return out.withColumn("hash", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint"))
+    return out.withColumn("hash", hashed())
+
+
+def hashed() -> Column:
+    """60 bits of the MD5 of doc_id as text."""
+    name = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -96,7 +101,21 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     aggregations over it, each of at most 1024 sums a source.
     """
     sized = table(sizes(docs), spark)
-    found = thresholds(sized, table(targets(sized), spark), spark).select(F.col("source").alias("s"), "source_size", "target", "full", "below")
-    out = sized.join(found, F.col("source").eqNullSafe(F.col("s")), "left")
+    out = taking(sized, sized, spark)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+def taking(rows: DataFrame, sized: DataFrame, spark: SparkSession) -> DataFrame:
+    """rows (source, hash and whatever else) with source_size, target and times, from the thresholds that sized gives."""
+    found = thresholds(sized, table(targets(sized), spark), spark)
+    found = found.select(F.col("source").alias("s"), "source_size", "target", "full", "below")
+    out = rows.join(found, F.col("source").eqNullSafe(F.col("s")), "left")
     times = F.col("full") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(times, F.lit(MOST_REPEATS))).alias("taken"), times.alias("times"))
+    return out.withColumn("times", F.least(times, F.lit(MOST_REPEATS)))
+
+
+def repeated(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns of docs."""
+    names = docs.columns
+    out = taking(docs.withColumn("hash", hashed()), table(sizes(docs), spark), spark)
+    return out.where("times > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*names)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunked
+from .common import carried, chunked
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -159,14 +159,16 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, redacted string, n_spans bigint"
 
 
-def scan_secrets(docs: DataFrame, mark: str = "[REDACTED]", with_text: bool = True) -> DataFrame:
+def scan_secrets(docs: DataFrame, mark: str = "[REDACTED]", with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs (doc_id, text): counts, spans, and the text with the spans replaced.
 
     A null text counts as empty: no spans. Empty texts have no spans; repeated rows give repeated
     rows; a null doc_id stays null; an empty table gives an empty table; other columns of docs are
     not read, so their names cannot clash. Texts are scanned whole, one at a time. Positions are code
-    points, ends exclusive. with_text=False leaves `redacted` null.
+    points, ends exclusive. with_text=False leaves `redacted` null. keep names columns of docs to carry
+    along, besides doc_id.
     """
+    rest, schema = carried(docs, tuple(c for c in keep if c != "doc_id"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
@@ -178,8 +180,9 @@ def scan_secrets(docs: DataFrame, mark: str = "[REDACTED]", with_text: bool = Tr
                 n = [sum(s[0] == k for s in base) for k in KINDS[:3]]
                 rows.append((*n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), redact(text, spans, mark) if with_text else None, len(spans)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()]))],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted", "n_spans"],
+                [*(batch.column(c) for c in rest), batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()]))],
+                names=[*rest, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted", "n_spans"],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(scan, SCHEMA)
+    kept = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(c for c in rest if c != "text"))
+    return kept.mapInArrow(scan, schema + SCHEMA)
