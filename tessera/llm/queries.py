@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, mixing, mpeg, near, packing, topk, urls
+from . import html, language, mixing, mpeg, near, packing, substring, topk, urls
 from . import secrets as secret_scan
 from .common import read
 
@@ -46,11 +46,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(read(spark, sf_dir, "documents"), spark, with_text=False).drop("kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), spark).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_topk, op3_html, op4_secrets, op5_language, op6_urls, op7_mpeg, op8_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_topk, op3_html, op4_secrets, op5_language, op6_urls, op7_mpeg, op8_packing, op9_substring, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_topk": """
