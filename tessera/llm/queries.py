@@ -57,6 +57,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_jaccard, op2_topk, op3_html, op4_secrets, op5_language, op6_urls, op7_mpeg, op8_packing, op9_substring, op10_mixing)}
 
 ORACLE_SQL = {
+    "op1_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b, k = x.n AND k = y.n AS same FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, b FROM reach JOIN links ON a = r)
+SELECT doc_id, min(r) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links,
+  least(doc_id, (SELECT min(b) FROM links WHERE a = doc_id AND same)) AS copy_of
+FROM documents JOIN reach ON d = doc_id GROUP BY doc_id
+""",
+    "op9_substring": r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i,
+    unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS t
+  FROM w WHERE len(ws) >= 13),
+firsts AS (SELECT t, min(doc_id) AS f FROM win GROUP BY t),
+gone AS (SELECT DISTINCT doc_id, i + o AS j FROM win JOIN firsts USING (t) CROSS JOIN range(0, 13) r(o) WHERE f < doc_id),
+each AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
     "op2_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
