@@ -12,18 +12,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators import lower
 from .operators.lower import Refused
 from .plans import interp
 from .plans.compiler import Options, compile_component, compile_document, compile_schema, table_loader
-from .plans.model import Capability, Compiled, Exactness, walk
+from .plans.model import Capability, Compiled, Exactness, Named, Plan, Record, walk
 from .plans.source import BadSchema, Library, parse
 from .plans.values import InvalidValue, decode
 
 __all__ = [
     "BadSchema", "Capability", "Compiled", "Exactness", "Options", "Refused", "accepts", "branches", "catalog", "compile_component", "compile_document",
-    "compile_schema", "diagnostics", "evaluate", "from_columns", "from_json", "literal_filter", "needs", "plan_rows", "project", "quarantine", "reference_edges", "register", "route", "table_loader",
+    "compile_schema", "diagnostics", "evaluate", "from_columns", "from_json", "literal_filter", "needs", "plan_rows", "project", "quarantine", "reference_edges", "register", "route", "storage_schema", "table_loader",
 ]
 
 #: Numbers whose digits or exponents VARIANT does not keep, and text after the value: only the exact evaluator reads those.
@@ -124,6 +125,21 @@ def project(compiled: Compiled, variant: str) -> Column:
     return F.expr(lower.stored(compiled, compiled.plan, f"`{variant}`"))
 
 
+def storage_schema(compiled: Compiled) -> T.DataType:
+    """The storage type, with titles, descriptions, defaults, x- extensions and the like as the fields' metadata (JSON text by name)."""
+
+    def described(kind: T.DataType, plan: Plan) -> T.DataType:
+        shape = plan.shape
+        while isinstance(shape, Named) and shape.name in compiled.definitions and not shape.recursive:
+            shape = compiled.definitions[shape.name].shape
+        if not isinstance(kind, T.StructType) or not isinstance(shape, Record):
+            return kind
+        own = {f.name: f for f in shape.fields}
+        return T.StructType([T.StructField(f.name, described(f.dataType, own[f.name].plan), True, dict(own[f.name].meta.items)) if f.name in own else f for f in kind.fields])
+
+    return described(T._parse_datatype_string(lower.storage_type(compiled, compiled.plan.shape, compiled.plan.tests)), compiled.plan)
+
+
 def quarantine(df: DataFrame, compiled: Compiled, variant: str, text: str | None = None) -> DataFrame:
     """Rows whose value is not accepted, or is not a value at all."""
     return df.where(~F.coalesce(accepts(compiled, variant, text), F.lit(False)))

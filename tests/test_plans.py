@@ -107,6 +107,11 @@ def test_discriminators():
     assert any("cannot be used" in d.message for d in c.diagnostics)
 
 
+def test_a_gap_inside_nested_negations_is_seen():
+    c = compile_schema('{"not":{"not":{"not":{"type":"string","minLength":-1}},"type":"string"}}')
+    assert c.exactness == Exactness.DECLARED_INCOMPLETE and interp.interpret(c, "x").accepted
+
+
 def test_simplify_rules():
     s, n = t.KindIs(frozenset(("string",))), t.KindIs(frozenset(("number",)))
     low = lambda k: t.Check(frozenset(("number",)), "minimum", Decimal(k))

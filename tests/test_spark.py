@@ -92,6 +92,12 @@ def test_project_and_route(spark):
     assert [r.b for r in df.select(api.route(k, "v").alias("b")).collect()] == [None, None, "number"]
 
 
+def test_storage_schema_has_metadata(spark):
+    c = api.compile_schema('{"type":"object","properties":{"a":{"type":"string","title":"A","x-unit":{"of":1}},"b":{"type":"object","properties":{"c":{"type":"boolean","default":true}}}},"additionalProperties":false}')
+    found = api.storage_schema(c)
+    assert found["a"].metadata == {"title": '"A"', "x-unit": '{"of":1}'} and found["b"].dataType["c"].metadata == {"default": "true"}
+
+
 def test_refused(spark):
     c = api.compile_schema('{"type":"object","unevaluatedProperties":false}')
     with pytest.raises(api.Refused, match="unevaluatedProperties"):
