@@ -35,12 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's own setting to remove a query's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back. The files go when the driver's Python ends."""
+    """Cut lineage: write df to the shared folder and read it back. Its shuffle files go at once, the table when the driver's Python ends or by drop()."""
     path = f"{shared_dir(spark).rstrip('/')}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def drop(df: DataFrame, spark: SparkSession) -> None:
+    """Remove the files of a table() that nothing will read again."""
+    _drop(spark, df._tessera_path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

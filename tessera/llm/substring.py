@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunked, grams, signed, table, words
+from .common import WordHash, chunked, drop, grams, signed, table, words
 from .near import grouped
 
 WINDOW, ANCHOR = 13, 3
@@ -256,19 +256,25 @@ def drop_repeats(docs: DataFrame, spark: SparkSession, window: int = WINDOW, wit
     found = table(occurrences(docs, window), spark)
     shared = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(F.col("h").alias("k"))
     lists = found.join(shared, F.col("h") == F.col("k")).groupBy("doc_id").agg(F.collect_set("h").alias("anchors")).withColumnRenamed("doc_id", "d")
+    lists = table(lists, spark)
+    drop(found, spark)
     texts = zipped(docs)
     wanted = texts.join(lists, F.col("doc_id") == F.col("d")).select("doc_id", "z", "anchors")
     cut = table(segments(wanted, window), spark)
+    drop(lists, spark)
 
     shards = table(cut.groupBy("h", "s").agg(F.min("doc_id").alias("doc"), F.first("words").alias("words")), spark)
     large = shards.groupBy("h").count().where(F.col("count") > SHARD).select(F.col("h").alias("k"))
     large = table(large, spark)
-    usual = first_documents(shards.join(large, F.col("h") == F.col("k"), "left_anti"), window)
-    rest = first_documents_by_window(shards.join(large, F.col("h") == F.col("k"), "left_semi"), window)
+    usual = table(first_documents(shards.join(large, F.col("h") == F.col("k"), "left_anti"), window), spark)
+    rest = table(first_documents_by_window(shards.join(large, F.col("h") == F.col("k"), "left_semi"), window), spark)
+    drop(shards, spark)
     firsts = usual.union(rest).select(F.col("h").alias("k"), F.col("s").alias("t"), "firsts")
 
     places = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = cut.select("h", "s", "doc_id", "start").join(firsts, (F.col("h") == F.col("k")) & (F.col("s") == F.col("t"))).select("doc_id", places.alias("places"))
     hits = hits.where(F.size("places") > 0).groupBy("doc_id").agg(F.collect_list("places").alias("at")).withColumnRenamed("doc_id", "d")
+    hits = table(hits, spark)
+    drop(cut, spark)
     joined = texts.join(hits, F.col("doc_id") == F.col("d"), "left").select("doc_id", "z", "at")
     return joined.mapInArrow(keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
