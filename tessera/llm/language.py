@@ -81,8 +81,11 @@ def sample(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
     those rows are ranked.
     """
     rows = labelled.where("text is not null and lang is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), "n")
-    near = rows.join(n, F.col("lang") == F.col("l")).where(F.col("h") < (1.2 * most + 50) / F.col("n") * (1 << 40))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toArrow().to_pylist()}  # a row for each language, as the model has
+    if not counts:
+        return rows.select("lang", "text")
+    part = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (1.2 * most + 50) / n) * (1 << 40)))))
+    near = rows.where(F.col("h") < F.element_at(part, F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     return near.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text")
 
@@ -120,29 +123,43 @@ class Scorer:
     """Rows of scores for words, kept for words seen before."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.rows, self.scores, self.letters = model, {}, np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int32)
+        self.model = model
+        self.start()
+
+    def start(self) -> None:
+        """Forget the words if there are too many; row numbers given before are void then."""
+        if not hasattr(self, "rows") or len(self.rows) > CACHE:
+            self.rows: dict[str, int] = {}
+            self.scores = np.zeros((4096, len(self.model.langs)), np.float32)
+            self.letters = np.zeros(4096, np.int32)
 
     def look_up(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > CACHE:
-            self.__init__(self.model)
-        new = [w for w in dict.fromkeys(words) if w not in self.rows]
-        if new:
-            feats = list(map(features, new))
-            sizes = np.fromiter(map(len, feats), np.int64, len(feats))
-            at = np.zeros(len(feats), np.int64)
-            np.cumsum(sizes[:-1], out=at[1:])
-            score = np.add.reduceat(self.model.logp[np.fromiter(chain.from_iterable(feats), np.int64, int(sizes.sum()))], at, axis=0)
-            score -= score.max(1, keepdims=True)
-            for i, w in enumerate(new):
-                uses = self.model.scripts.get(script(w[0]))
-                if not uses or not any(uses):
-                    score[i] = 0  # a script of no learned language tells nothing
-                elif not all(uses):
-                    score[i] -= np.where(uses, np.float32(0), np.float32(1e3))
-            self.rows.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
-            self.scores = np.concatenate([self.scores, score.astype(np.float32)])
-            self.letters = np.concatenate([self.letters, np.fromiter(map(len, new), np.int32, len(new))])
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        try:
+            return np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
+        except KeyError:
+            self._learn([w for w in dict.fromkeys(words) if w not in self.rows])
+            return np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
+
+    def _learn(self, new: list[str]) -> None:
+        feats = list(map(features, new))
+        sizes = np.fromiter(map(len, feats), np.int64, len(feats))
+        at = np.zeros(len(feats), np.int64)
+        np.cumsum(sizes[:-1], out=at[1:])
+        score = np.add.reduceat(self.model.logp[np.fromiter(chain.from_iterable(feats), np.int64, int(sizes.sum()))], at, axis=0)
+        score -= score.max(1, keepdims=True)
+        for i, w in enumerate(new):
+            uses = self.model.scripts.get(script(w[0]))
+            if not uses or not any(uses):
+                score[i] = 0  # a script of no learned language tells nothing
+            elif not all(uses):
+                score[i] -= np.where(uses, np.float32(0), np.float32(1e3))
+        first, end = len(self.rows), len(self.rows) + len(new)
+        while end > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.scores[first:end] = score
+        self.letters[first:end] = list(map(len, new))
+        self.rows.update(zip(new, range(first, end)))
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
@@ -196,12 +213,16 @@ def label(docs: DataFrame, spark: SparkSession, model: Model, penalty: float = S
         model = shared.value
         scorer = Scorer(model)
         for batch in chunked(batches, most=CHUNK):
-            docs = [split_words(t) if t else [] for t in batch.column("text").to_pylist()]
+            if model.langs:
+                scorer.start()
+                docs = [scorer.look_up(split_words(t.as_py() or "")) for t in batch.column("text")]
+            else:
+                docs = [np.zeros(0, np.int32)] * batch.num_rows
             starts = np.zeros(len(docs) + 1, np.int64)
             np.cumsum(list(map(len, docs)), out=starts[1:])
             pred, share, spans = [UNDETERMINED] * len(docs), [0.0] * len(docs), [""] * len(docs)
-            if starts[-1] and model.langs:
-                rows = scorer.look_up(list(chain.from_iterable(docs)))
+            if starts[-1]:
+                rows = np.concatenate(docs)
                 scores, letters = scorer.scores[rows], scorer.letters[rows]
                 labels = viterbi(scores, starts, penalty)
                 known = scores.any(1)
