@@ -35,8 +35,8 @@ from .common import WordHash, chunked, drop, grams, signed, table, words
 from .near import grouped
 
 WINDOW, ANCHOR = 13, 3
-#: Segments of an anchor up to which they share an automaton.
-SHARD = 512
+#: Segments of an anchor up to which they share an automaton (some 70,000 words).
+SHARD = 4096
 
 
 class SuffixAutomaton:
