@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, chunked, drop, grams, signed, table, words
-from .near import grouped
 
 WINDOW, ANCHOR = 13, 3
 #: Segments of an anchor up to which they share an automaton (some 70,000 words).
@@ -182,23 +181,33 @@ def segments(wanted: DataFrame, window: int) -> DataFrame:
 def first_documents(shards: DataFrame, window: int) -> DataFrame:
     """h, s, firsts (the first document of each window) for segments (h, s, doc, words), by automata."""
 
+    def shard(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, list[int]]]:
+        if len(rows) == 1:  # what is in one segment only starts in its document
+            h, s, doc, text = rows[0]
+            yield h, s, [doc] * (text.count(b" ") + 2 - window)
+            return
+        split = [t.split(b" ") for *_, t in rows]
+        automaton = SuffixAutomaton()
+        for (_, _, doc, _), t in zip(rows, split):
+            automaton.add(t, doc)
+        for (h, s, _, _), t in zip(rows, split):
+            yield h, s, [first for n, first in automaton.matching(t, window) if n == window]
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, list[int]]] = []
-        for group in grouped(batches, 1):
-            h, keys = group.column("h")[0].as_py(), group.column("s").to_pylist()
-            docs, text = group.column("doc").to_pylist(), [t.split(b" ") for t in group.column("words").to_pylist()]
-            automaton = SuffixAutomaton()
-            for d, t in zip(docs, text):
-                automaton.add(t, d)
-            for s, t in zip(keys, text):
-                out.append((h, s, [first for n, first in automaton.matching(t, window) if n == window]))
-            if len(out) > 20_000:
-                yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
-
-    def _rows(out: list) -> pa.RecordBatch:
+        held: list[tuple[int, int, int, bytes]] = []
+        for batch in batches:
+            out: list[tuple[int, int, list[int]]] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "doc", "words"))):
+                if held and row[0] != held[0][0]:
+                    out += shard(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield found(out)
+        if held:
+            yield found(list(shard(held)))
+
+    def found(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["h", "s", "firsts"])
 
     ordered = shards.select("h", "s", "doc", "words").repartition("h").sortWithinPartitions("h", "doc", "s")
