@@ -201,6 +201,20 @@ def test_entry_without_the_subpackage(tmp_path):
     assert set(names) == set(queries.QUERIES) and set(sql) <= set(names)
 
 
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        f"print('ROWS', e.queries()['evaluate_reasons'](spark, {SF!r}).count())"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=200, env=env)
+    assert "ROWS 3" in out.stdout
+
+
 def test_decimal_literals():
     assert lower.decimal(Decimal("1e-20")) and lower.decimal(Decimal("1e-21")) is None and lower.decimal(Decimal("1e19")) is None
     assert lower.quoted("a'\\\n") == "'a\\'\\\\\\n'"
