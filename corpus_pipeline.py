@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import language, mixing, near, packing, secrets
 from tessera.llm.common import read, table
+from tessera.ship import shipped
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays if this share of its letters is in the language it is labelled with by the model.
 LEAST_SHARE = 0.5
 
 
+@shipped
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is undetermined or holds less than half of their letters."""
     docs = docs.select(*COLUMNS)
@@ -21,6 +23,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
+@shipped
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the least doc_id, of each group of near copies; rows without an id stay."""
     docs = docs.select(*COLUMNS)
@@ -33,6 +36,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return once.unionByName(least.select("doc_id", "r.*"))
 
 
+@shipped
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a mark; n_chars follows the text."""
     found = secrets.scan_secrets(docs.select(*COLUMNS), keep=COLUMNS)
@@ -40,11 +44,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_spans") > 0, F.length("redacted")).otherwise(F.col("n_chars")).cast("bigint").alias("n_chars"))
 
 
+@shipped
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat every document as often as the mix takes it; those it takes no times go."""
     return mixing.repeated(docs.select(*COLUMNS), spark)
 
 
+@shipped
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack into sequences of at most 4096 tokens: a row for each piece, with its ids."""
     import public_tokenizers
