@@ -1,6 +1,7 @@
 """URL filters by association rules.
 
-Spark's FP-growth mines combinations of URL tokens that go with a label. Rules below the support or
+FP-growth, a token's conditional base at a time, mines combinations of URL tokens that go with a label.
+URLs are tokenised whole; the support and MOST_NEEDS bound the rules. Rules below the support or
 confidence asked for are dropped, and so are rules whose tokens include those of a rule of the same
 label that is no less confident. URLs are matched by an inverted index from tokens to rules; the most
 confident rule that has all its tokens in the URL decides.
@@ -8,19 +9,19 @@ confident rule that has all its tokens in the URL decides.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.6
-#: A URL has at most so many tokens, so that there are at most 2^10 / MIN_SUPPORT frequent combinations.
-MOST_TOKENS = 10
+#: A rule has at most so many tokens; a URL may have any number.
+MOST_NEEDS = 10
 CACHE = 200_000
 
 # The rules that come before the method's verdicts.
@@ -28,10 +29,15 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 LABELS = ("allow", "block")
 
 URL = re.compile(r"([^:/?#]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", re.DOTALL)
+WORD = re.compile(r"\d+|[^\W\d_]+")
+FOUND = pa.schema([("needs", pa.list_(pa.int32())), ("label", pa.string()), ("n", pa.int64()), ("confidence", pa.float64())])
 
 
 def tokens(url: str | None) -> list[str]:
-    """Tokens of scheme, host and its parts, path and query, at most MOST_TOKENS, without repeats; numbers count by their first digit and length."""
+    """Tokens of scheme, every host label, every path segment and every query key, and of their words, without repeats.
+
+    A segment that starts with digits also counts by its first digit and their number.
+    """
     m = URL.search(url or "")
     if not m:
         return ["no-url"]
@@ -39,15 +45,22 @@ def tokens(url: str | None) -> list[str]:
     labels = host.lower().split(".")
     out = [f"top={labels[-1]}", f"host={host.lower()}"]
     out += [f"sub={labels[0]}"] if len(labels) > 2 else []
-    out += [f"words={w}" for w in labels[-3:-2] if "-" in w]
+    for w in labels[:-1]:
+        out += [f"part={w}", *([f"words={w}", *_words(w)] if "-" in w else [])]
     parts = [p for p in path.lower().split("/") if p]
-    for i, p in enumerate(parts[:2]):
+    for i, p in enumerate(parts):
         n = re.match(r"\d+", p)
-        out.append(f"path{i}={n[0][0]}x{len(n[0])}" if n else f"path{i}={p}")
+        out += [f"path{i}={n[0][0]}x{len(n[0])}"] if n else []
+        out += [f"path{i}={p}", *_words(p)]
     out += ["ext=" + parts[-1].rpartition(".")[2]] if parts and "." in parts[-1] else []
-    out += [f"key={k.partition('=')[0].lower()}" for k in (query or "").split("&")[:2] if k]
+    out += [f"key={k.partition('=')[0].lower()}" for k in (query or "").split("&") if k]
     out.append(f"scheme={scheme.lower()}")
-    return list(dict.fromkeys(out))[:MOST_TOKENS]
+    return list(dict.fromkeys(out))
+
+
+def _words(text: str) -> list[str]:
+    """Tokens of the words in a host label or path segment; digits before letters are a word of their own."""
+    return [f"word={w}" for w in WORD.findall(text)]
 
 
 @dataclass
@@ -59,18 +72,89 @@ class Rule:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Rule]:
-    """Rules from labelled (url, label), best first. Rows with a null label are left out; without rows there are no rules."""
-
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[*tokens(u), f"label={v}"] for u, v in zip(batch.column("url").to_pylist(), batch.column("label").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["items"])
-
-    baskets = labelled.where("label is not null").select(F.col("url").cast("string").alias("url"), F.col("label").cast("string").alias("label")).mapInArrow(items, "items array<string>")
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    found = found.where(F.element_at("consequent", 1).startswith("label=") & ~F.exists("antecedent", lambda x: x.startswith("label=")))
-    rules = [Rule(frozenset(r["antecedent"]), r["consequent"][0].removeprefix("label="), r["confidence"], r["support"]) for r in found.toArrow().to_pylist()]
-    return pruned(rules)
+    """Rules of at most MOST_NEEDS tokens from labelled (url, label), best first. Rows with a null label are left out; without rows there are no rules."""
+    rows = labelled.where("label is not null").select(F.col("url").cast("string").alias("url"), F.col("label").cast("string").alias("label"))
+    total = rows.count()
+    if not total:
+        return []
+    least = math.ceil(min_support * total)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((t, v) for u, v in _pairs(batches) for t in tokens(u))
+        yield from _counted(found, ("token", "label"), (pa.string(), pa.string()))
+
+    counts = rows.mapInArrow(count, "token string, label string, n bigint").groupBy("token", "label").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow().to_pylist()
+    sums: Counter = Counter()
+    for r in counts:
+        sums[r["token"]] += r["n"]
+    names = sorted(sums, key=lambda t: (-sums[t], t))  # at most tokens a URL / min_support
+    shared = labelled.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names)})
+
+    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = shared.value
+        baskets = ((sorted(rank[t] for t in tokens(u) if t in rank), v) for u, v in _pairs(batches))
+        found = ((ids[i], tuple(ids[:i]), v) for ids, v in baskets for i in range(len(ids)))
+        yield from _counted(found, ("tail", "prefix", "label"), (pa.int32(), pa.list_(pa.int32()), pa.string()))
+
+    def grow(base: pa.Table) -> pa.Table:
+        rows: dict[tuple[int, ...], Counter] = defaultdict(Counter)
+        for prefix, label, n in zip(*(base.column(c).to_pylist() for c in ("prefix", "label", "n"))):
+            rows[tuple(prefix)][label] += n
+        return pa.Table.from_pylist([{"needs": sorted(r.needs), "label": r.label, "n": int(r.support), "confidence": r.confidence} for r in pruned(grown(base.column("tail")[0].as_py(), rows, least, min_confidence))], FOUND)
+
+    found = rows.mapInArrow(bases, "tail int, prefix array<int>, label string, n bigint").groupBy("tail").applyInArrow(grow, "needs array<int>, label string, n bigint, confidence double")
+    return pruned([Rule(frozenset(names[i] for i in r["needs"]), r["label"], r["confidence"], r["n"] / total) for r in found.toArrow().to_pylist()])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, str]]:
+    for batch in batches:
+        yield from zip(batch.column("url").to_pylist(), batch.column("label").to_pylist())
+
+
+def _counted(found: Iterator[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches of keys and their counts; a key comes again where there were over CACHE others."""
+
+    def batch(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*counts), kinds)), pa.array(counts.values(), pa.int64())], names=[*names, "n"])
+
+    counts: Counter = Counter()
+    for key in found:
+        counts[key] += 1
+        if len(counts) > CACHE:
+            yield batch(counts)
+            counts = Counter()
+    if counts:
+        yield batch(counts)
+
+
+def grown(tail: int, rows: dict[tuple[int, ...], Counter], least: int, min_confidence: float) -> list[Rule]:
+    """FP-growth of the rules whose last token by rank is tail, from its prefixes and their labels; `support` counts rows.
+
+    Left out are only rules that pruned() drops: those with a token that all rows of the others have, and
+    those that extend a rule without exceptions.
+    """
+    out: list[Rule] = []
+
+    def extend(needs: tuple[int, ...], base: dict[tuple[int, ...], Counter], labels: Counter) -> None:
+        n = labels.total()
+        out.extend(Rule(frozenset(needs), v, k / n, k) for v, k in labels.items() if k >= least and k / n >= min_confidence)
+        if len(needs) == MOST_NEEDS or len(labels) == 1:
+            return
+        by: dict[int, Counter] = defaultdict(Counter)
+        for prefix, c in base.items():
+            for i in prefix:
+                by[i].update(c)
+        good = {i for i, c in by.items() if max(c.values()) >= least and c.total() < n}
+        below: dict[int, dict[tuple[int, ...], Counter]] = {i: defaultdict(Counter) for i in good}
+        for prefix, c in base.items():
+            kept = tuple(i for i in prefix if i in good)
+            for at, i in enumerate(kept):
+                below[i][kept[:at]].update(c)
+        for i in sorted(good):
+            extend((i, *needs), below.pop(i), by[i])
+
+    extend((tail,), rows, sum(rows.values(), Counter()))
+    return out
 
 
 def pruned(rules: list[Rule]) -> list[Rule]:
@@ -97,7 +181,7 @@ class Matcher:
 
     def match(self, url: str | None) -> tuple[str, str | None, float]:
         """(label, the rule's tokens or None, its confidence)."""
-        have = tuple(tokens(url))
+        have = tuple(t for t in tokens(url) if t in self.index)
         out = self.seen.get(have)
         if out is None:
             if len(self.seen) > CACHE:
@@ -143,7 +227,7 @@ def judge(pages: DataFrame, spark: SparkSession, rules: tuple[tuple[str, str, st
     given = ruled(pages, rules)
     if labelled is None:
         labelled = given.select("url", F.col("ruling").alias("label"))
-    mined = spark.sparkContext.broadcast(mine(labelled))  # at most 2^MOST_TOKENS / MIN_SUPPORT rules
+    mined = spark.sparkContext.broadcast(mine(labelled))  # bounded by MIN_SUPPORT and MOST_NEEDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(mined.value, LABELS[0])

@@ -141,3 +141,15 @@ def test_mined_rules_against_brute_force(spark):
     matcher = urls.Matcher(rules, "allow")
     assert matcher.match("http://c.com/x/7")[0] == "block" and matcher.match("http://c.com/y/7")[0] == "allow"
     assert urls.mine(spark.createDataFrame([], "url string, label string")) == []
+
+
+def test_urls_are_tokenised_whole(spark):
+    """Deep segments, words after digits, later query keys and labels of short hosts decide."""
+    deciding = ["http://x{i}.com/a/b/c/spam/{i}", "http://x{i}.com/a/{i}-casino-bonus", "http://x{i}.com/a?p=1&q=2&r=3&evil=4", "http://cheap-pills.n{i}/"]
+    good = ["http://x{i}.com/a/b/c/news/{i}", "http://x{i}.com/a/{i}-city-guide", "http://x{i}.com/a?p=1&q=2&r=3&page=4", "http://fresh-bread.n{i}/"]
+    data = [(u.format(i=i), v) for i in range(40) for us, v in ((deciding, "block"), (good, "allow")) for u in us]
+    matcher = urls.Matcher(urls.mine(spark.createDataFrame(data, "url string, label string"), min_support=0.05), "allow")
+    assert [matcher.match(u.format(i=99))[0] for u in deciding + good] == ["block"] * 4 + ["allow"] * 4
+    many = [(f"http://h.com/{'/'.join('abcdefghijklmnopqrstuvwxyz')}/{v}", v) for v in ("allow", "block") * 9]
+    rules = urls.mine(spark.createDataFrame(many, "url string, label string"))  # 2^26 combinations say the same
+    assert sorted((r.label, *r.needs) for r in rules) == [(v, f"{k}={v}") for v in ("allow", "block") for k in ("path26", "word")]
