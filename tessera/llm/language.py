@@ -1,9 +1,10 @@
 """Language spans of mixed-language text.
 
-Each word's script narrows the candidate languages to those whose training texts use it. A word's
-score in a language is the log-likelihood of its character bigrams and trigrams under hashed counts;
-Viterbi over the words, with a penalty for every switch, labels spans. A document's language is the
-one with the most letters, its score their share.
+Words are runs of letters of one script, long runs cut into pieces, so that all letters are read. Each
+word's script narrows the candidate languages to those whose training texts use it. A word's score in
+a language is the log-likelihood of its character bigrams and trigrams under hashed counts; Viterbi
+over the words, with a penalty for every switch, labels spans. A document's language is the one with
+the most letters, its score their share.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ SWITCH = 12.0
 SAMPLE = 2000
 CHUNK = 8 << 20
 CACHE = 300_000
+#: Letters of a word; longer runs, as of unspaced scripts, are words of so many letters one after another.
+LONGEST = 60
 WORD = re.compile(r"[^\W\d_]+")
 
 # Where a script's letters start (Unicode blocks); letters before the first are Latin.
@@ -54,13 +58,30 @@ def script(letter: str) -> str:
 
 
 def split_words(text: str) -> list[str]:
-    """Lower-case runs of letters."""
-    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    """Lower-case runs of letters of one script, long ones in consecutive pieces of at most LONGEST."""
+    out: list[str] = []
+    for w in WORD.findall(text.lower()):
+        if len(w) > LONGEST:
+            out += _pieces(w)
+        elif w.isascii():
+            out.append(w)
+        else:
+            out += _short_pieces(w)
+    return out
+
+
+def _pieces(run: str) -> list[str]:
+    parts = ("".join(p) for _, p in groupby(run, script)) if not run.isascii() else (run,)
+    cut = (p[i : i + LONGEST] for p in parts for i in range(0, len(p), LONGEST))
+    return [p for p in cut if p.isalpha() or any(map(str.isalpha, p))]
+
+
+_short_pieces = lru_cache(100_000)(_pieces)
 
 
 def features(word: str) -> list[int]:
     """Buckets of the word's bigrams and trigrams, with its ends marked."""
-    w = f"^{word[:60]}$"
+    w = f"^{word}$"
     raw = w.encode("utf-8", "surrogatepass")
     if len(raw) == len(w):  # each byte a letter
         return [zlib.crc32(raw[i : i + n]) % BUCKETS for n in (2, 3) for i in range(len(raw) - n + 1)]

@@ -150,6 +150,17 @@ def test_language(spark, make, documents):
     assert spans[2]["lang_pred"] in model.langs and spans[2]["score"] == 0
 
 
+def test_language_reads_runs_whole(spark, make):
+    """Letters after the first 60 of a run count, in training too, and a run changes word where its script changes."""
+    assert language.split_words("A" * 130 + " a漢字bc é²") == ["a" * 60, "a" * 60, "a" * 10, "a", "漢字", "bc", "é²"]
+    rows = [(i, "ab" * 30 + ("cdce" if i % 2 else "fgfh") * 50, "xx" if i % 2 else "yy", None) for i in range(40)]
+    rows += [(100 + i, "漢字仮名" * 20, "zh", None) for i in range(20)]
+    model = language.learned(make(rows))
+    texts = ["cdce" * 60 + "fgfh" * 60, "A" + "漢字仮名" * 40, "ab" * 30 + "fgfh" * 200]
+    got = {r["doc_id"]: r for r in rows_of(language.label(make([(i, t, None, None) for i, t in enumerate(texts)]), spark, model))}
+    assert got[0]["spans"] == "xx:4,yy:4" and got[1]["lang_pred"] == "zh" and got[1]["score"] > 0.98 and got[2]["lang_pred"] == "yy"
+
+
 def test_viterbi_against_dynamic_programming():
     rng = np.random.default_rng(4)
     lengths = [0, 1, 7, 30, 3, 0, 12]
