@@ -186,14 +186,14 @@ class Scorer:
 def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
     """The best labels of all words; sequences i are scores[starts[i]:starts[i + 1]], taken in lockstep, longest first."""
     n, k = scores.shape
-    out = np.zeros(n, np.int8)
+    out = np.zeros(n, np.int32)
     size = np.diff(starts)
     order = np.argsort(-size, kind="stable")
     first, size = starts[:-1][order], size[order]
     steps = int(size[0]) if len(size) else 0
     # active[t]: how many sequences have a word t
     active = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
-    best, came, v = np.zeros(n, np.int8), np.zeros((n, k), bool), np.zeros((len(size), k), np.float32)
+    best, came, v = np.zeros(n, np.int32), np.zeros((n, k), bool), np.zeros((len(size), k), np.float32)
     if steps:
         v[: active[0]] = scores[first[: active[0]]]
     for t in range(1, steps):
@@ -205,7 +205,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
         best[at], came[at] = top, move
         np.maximum(w, switched, out=w)
         w += scores[at]
-    label = v.argmax(1).astype(np.int8)
+    label = v.argmax(1).astype(np.int32)
     for t in range(steps - 1, -1, -1):
         a = active[t]
         at, now = first[:a] + t, label[:a]

@@ -179,6 +179,13 @@ def test_viterbi_against_dynamic_programming():
         assert abs(value(got[a:b]) - best) < 1e-3
 
 
+def test_viterbi_with_many_languages():
+    scores = np.full((400, 200), -50, np.float32)
+    best = np.repeat([3, 199, 127, 128], 100)
+    scores[np.arange(400), best] = 0
+    assert language.viterbi(scores, np.array([0, 400]), 12.0).tolist() == best.tolist()
+
+
 def test_held_out(spark, make):
     got = make([(i, "x", None, None) for i in range(50)]).select("doc_id", language.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
