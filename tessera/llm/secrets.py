@@ -1,8 +1,8 @@
 """Secret scans with structural confirmation.
 
 Three base patterns report what looks like an assigned secret, an access key id or a long hex run.
-Besides, candidates for encoded keys and tokens are decoded (base64, URL-safe base64, hex, PEM) and
-reported only if what they hold parses: DER with nested lengths that add up, an OpenSSH private key
+Besides, all long runs of base64, URL-safe base64 and hex are decoded, also over line breaks and their
+escapes, and keys, PEM armour and tokens, encoded or plain, are reported only if what they hold parses: DER with nested lengths that add up, an OpenSSH private key
 whose fields end where the data ends, or a signed token whose header is JSON that names an algorithm.
 """
 
@@ -13,7 +13,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,10 +29,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh")
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", re.ASCII)
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
-#: DER sequences of 24 bytes or more start so in base64; the OpenSSH magic so.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}={0,2}", re.ASCII)
-HEX_DER = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{46,}(?![0-9a-fA-F])", re.ASCII)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+[nr])++)-----END \1-----", re.ASCII)
+#: A line break, or its escape, inside an encoded run.
+_BREAK = r"(?:[ \t]*+(?:(?:\r?\n|\r|\\+[nr])[ \t]*+)++)"
+BREAK = re.compile(_BREAK, re.ASCII)
+#: Runs of base64 of 32 letters, or of hex of 48, or shorter ones that go on after a break.
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nr]))[A-Za-z0-9+/_-]++(?:(?:" + _BREAK + r"[A-Za-z0-9+/_-]++)++|(?<=[A-Za-z0-9+/_-]{32}))={0,2}", re.ASCII)
+HEX_RUN = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]++(?:(?:" + _BREAK + r"[0-9a-fA-F]++)++|(?<=[0-9a-fA-F]{48}))(?![0-9a-fA-F])", re.ASCII)
 OPENSSH = b"openssh-key-v1\0"
 
 
@@ -79,25 +84,35 @@ def is_der_key(data: bytes) -> bool:
     return whole == len(data) and data[at] in (0x02, 0x30)
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The magic, three strings, a count of keys and that many public keys and a private block, to the last byte."""
+def der_size(data: bytes) -> int:
+    """The size of the sequence that data starts with, by its header; 0 if there is none."""
+    if len(data) < 2 or data[0] != 0x30:
+        return 0
+    at = 2 + (data[1] & 127 if data[1] & 128 else 0)
+    return at + (int.from_bytes(data[2:at], "big") if data[1] & 128 else data[1]) if at <= 6 else 0
+
+
+def openssh_size(data: bytes) -> int:
+    """The size of the key that data starts with: the magic, three strings, a count of keys and that many public keys and a private block; 0 if there is none."""
     if not data.startswith(OPENSSH):
-        return False
+        return 0
     at = len(OPENSSH)
 
-    def field() -> bytes | None:
+    def field() -> bool:
         nonlocal at
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return None
-        at += 4 + size
-        return data[at - size : at]
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at <= len(data)
 
-    if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+    if not all(field() for _ in range(3)) or at + 4 > len(data):
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 64 and all(field() is not None for _ in range(keys + 1)) and at == len(data)
+    return at if 1 <= keys <= 64 and all(field() for _ in range(keys + 1)) else 0
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """One key, to the last byte."""
+    return 0 < openssh_size(data) == len(data)
 
 
 def is_signed_token(text: str) -> bool:
@@ -118,29 +133,74 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    """Spans of encoded keys and tokens whose structure parses."""
+def plain_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans of signed tokens and of PEM armour whose contents parse."""
     out = []
     if "ey" in text:
         out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    pems = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = unbase64(m[2])
+            data = unbase64(BREAK.sub("", m[2]))
             if data and (is_der_key(data) or is_openssh_key(data)):
-                pems.append((m.start(), m.end()))
-    out += [("pem", a, b) for a, b in pems]
-    for pattern, decode in ((BASE64, unbase64), (HEX_DER, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
+                out.append(("pem", m.start(), m.end()))
+    return out
+
+
+def encoded_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans of keys, armour and tokens in what base64 and hex runs hold, line breaks left out.
+
+    A key starts where a line of the run does and ends where one ends, so that other words may precede
+    or follow it on lines of their own; armour and tokens may be anywhere in the bytes.
+    """
+    out = []
+    # so many letters hold so many bytes
+    for pattern, least, letters, size, decode in ((BASE64, 32, 4, 3, unbase64), (HEX_RUN, 48, 2, 1, bytes.fromhex)):
         for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in pems) or not (data := decode(m[0])):
+            if m.end() - m.start() < least:
                 continue
-            if is_der_key(data):
-                out.append(("der", m.start(), m.end()))
-            elif is_openssh_key(data):
-                out.append(("openssh", m.start(), m.end()))
+            lines, at = [], m.start()
+            for br in BREAK.finditer(text, m.start(), m.end()):
+                lines.append((at, br.start()))
+                at = br.end()
+            lines.append((at, m.start() + len(m[0].rstrip("="))))
+            joined = "".join(text[a:b] for a, b in lines)
+            if len(joined) < least:
+                continue
+            starts = [0, *accumulate(b - a for a, b in lines)]
+            ends = set(starts[1:])
+
+            def span(kind: str, a: int, b: int) -> tuple[str, int, int]:
+                i, j = bisect_right(starts, a) - 1, bisect_left(starts, b) - 1  # noqa: B023
+                end = lines[j][0] + b - starts[j]  # noqa: B023
+                return kind, lines[i][0] + a - starts[i], m.end() if b == len(joined) else end  # noqa: B023
+
+            # All letters at one distance modulo `letters` are read by one decoding.
+            for first in {s % letters: s for s in reversed(starts[:-1])}.values():
+                body = joined[first:]
+                data = decode(body[: len(body) - (len(body) % letters == 1)]) or b""
+                for s in starts[:-1]:
+                    if s < first or (s - first) % letters:
+                        continue
+                    at = (s - first) // letters * size
+                    for kind, magic, sized, holds in (("der", b"0", der_size, is_der_key), ("openssh", OPENSSH, openssh_size, is_openssh_key)):
+                        if data.startswith(magic, at) and (n := sized(data[at : at + 8] if kind == "der" else data[at:])):
+                            end = s - (-n * letters // size)
+                            if end in ends and holds(data[at : at + n]):
+                                out.append(span(kind, s, end))
+                if b"ey" in data or b"-----BEGIN " in data:
+                    for kind, a, b in plain_spans(data.decode("latin-1")):
+                        out.append(span(kind, first + a * letters // size, min(first - (-b * letters // size), len(joined))))
     return out
 
 
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans of encoded keys and tokens whose structure parses."""
+    out = plain_spans(text)
+    pems = [(a, b) for kind, a, b in out if kind == "pem"]
+    out += [s for s in encoded_spans(text) if not any(a <= s[1] < b for a, b in pems)]
+    return list(dict.fromkeys(out))
+
+
 def listed(spans: list[tuple[str, int, int]]) -> str:
     order = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return ",".join(f"{k}:{a}:{b}" for k, a, b in order)

@@ -133,6 +133,37 @@ def test_secrets(spark, make, documents):
     assert by[400]["spans"] == "" and by[400]["redacted"] == ""
 
 
+def test_secrets_in_encoded_runs():
+    """Escaped, encoded, line-wrapped and hex keys and tokens are found; broken ones aren't."""
+    import base64
+    import json
+
+    numbers = b"\x02\x01\x00" + b"\x02\x50" + bytes(range(1, 81)) + b"\x02\x03\x01\x00\x01"
+    der = b"\x30" + bytes([len(numbers)]) + numbers
+    key = base64.b64encode(der).decode()
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = secrets.OPENSSH + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 20) + field(b"q" * 30)
+    pem = f"-----BEGIN PRIVATE KEY-----\n{key[:64]}\n{key[64:]}\n-----END PRIVATE KEY-----\n"
+    b = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+    jwt = f"{b(json.dumps({'alg': 'HS256'}).encode())}.{b(b'{}')}.{b(b'signature')}"
+    for text, kind, secret in [
+        (json.dumps({"type": "service_account", "private_key": pem}), "pem", None),
+        (json.dumps(json.dumps({"private_key": pem})), "pem", None),
+        ("tls.key: " + base64.b64encode(pem.encode()).decode() + " x", "pem", None),
+        ("x " + base64.b64encode(f"user: a\n{pem}".encode()).decode(), "pem", None),
+        (f"the key\n{key[:40]}\n{key[40:80]}\n{key[80:]}\nends", "der", f"{key[:40]}\n{key[40:80]}\n{key[80:]}"),
+        (f'"\\n{key[:64]}\\n{key[64:]}\\n"', "der", f"{key[:64]}\\n{key[64:]}"),
+        ("x " + ssh.hex() + " y", "openssh", ssh.hex()), ("x " + pem.encode().hex(), "pem", None), (f"a {jwt.encode().hex()} b", "jwt", jwt.encode().hex()),
+        (der.hex()[:90] + "\n" + der.hex()[90:], "der", der.hex()[:90] + "\n" + der.hex()[90:]), (base64.b64encode(jwt.encode()).decode(), "jwt", None),
+    ]:
+        spans = secrets.confirmed_spans(text)
+        assert [k for k, *_ in spans] == [kind], (text, spans)
+        assert secret is None or text[spans[0][1] : spans[0][2]] == secret
+        assert key[8:30] not in secrets.redact(text, spans, "*")
+    for text in (base64.b64encode(der[:-1]).decode(), der.hex()[:-2], base64.b64encode(ssh + b"x").decode(), "word\nword-of_more/letters\n" * 30, key[:40] + "\n" + key[48:]):
+        assert secrets.confirmed_spans(text) == []
+
+
 def test_language(spark, make, documents):
     docs = make(documents)
     model = language.learned(docs)
