@@ -6,7 +6,7 @@ points), and frames of 384 samples at 48 kHz, mono, 448 kbit/s, with checksums.
 there, and no UTF-8 text has that byte. The last frame may be partly filled; the tag has the count.
 
 The reader skips tags, resynchronises on frame headers (a header counts if the next one fits, or the
-data ends), verifies checksums, reads Xing, Info and VBRI tables, and reports the exact duration in
+data ends), verifies checksums, reads Xing, Info and VBRI tables with their seek points, and reports the exact duration in
 samples and the offset of every frame.
 """
 
@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,59 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return c
 
 
+#: Layer II: bits of an allocation code by subband, for each table of the standard.
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4, "b": (4,) * 11 + (3,) * 12 + (2,) * 7, "c": (4,) * 2 + (3,) * 6, "d": (4,) * 2 + (3,) * 10,
+    "lsf": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def crc16_bits(bits: str) -> int:
+    """The same checksum of a text of 0 and 1."""
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ (b == "1") else 0)) & 0xFFFF
+    return c
+
+
+def layer2_protected(frame: bytes, f: Frame) -> str | None:
+    """The bits that a Layer II checksum covers: half of the header, allocation codes and scfsi; None if the frame ends before."""
+    channels = 1 if f.mono else 2
+    per = f.kbps // channels
+    if f.version != 1:
+        table = "lsf"
+    elif per <= 48:
+        table = "d" if f.rate == 32000 else "c"
+    else:
+        table = "b" if f.rate != 48000 and per >= 96 else "a"
+    widths = ALLOCATION[table]
+    bound = min(f.bound, len(widths))
+    body = "".join(f"{b:08b}" for b in frame[6 : 6 + 64])
+    at = used = 0
+    for i, w in enumerate(widths):
+        for _ in range(channels if i < bound else 1):
+            if int(body[at : at + w] or "0", 2):
+                used += channels if i >= bound else 1
+            at += w
+    at += 2 * used
+    return f"{frame[2]:08b}{frame[3]:08b}{body[:at]}" if at <= 8 * (len(frame) - 6) else None
+
+
+def failures(block: np.ndarray, f: Frame) -> int:
+    """How many of these protected frames, a row each and with one header, do not have the checksum of what it covers."""
+    told = block[:, 4].astype(np.uint16) << np.uint16(8) | block[:, 5]
+    if f.layer == 2:
+        covered = [layer2_protected(row.tobytes(), f) for row in block]
+        return sum(c is None or crc16_bits(c) != t for c, t in zip(covered, told.tolist()))
+    if f.layer == 1:
+        width = 16 if f.mono else (32 + f.bound) // 2
+    else:
+        width = (17 if f.mono else 32) if f.version == 1 else 9 if f.mono else 17
+    if 6 + width > f.size:
+        return len(block)
+    return int((crc16(np.concatenate([block[:, 2:4], block[:, 6 : 6 + width]], 1)) != told).sum())
+
+
 def pad(data: bytes) -> bytes:
     """data and bytes 0, up to a positive multiple of 64."""
     return data + bytes(-len(data) % UNIT if data else UNIT)
@@ -109,6 +163,7 @@ class Frame:
     mono: bool
     size: int
     samples: int
+    bound: int  # the first subband whose allocation both channels share; 32 without joint stereo
 
 
 def header(data: bytes, at: int) -> Frame | None:
@@ -123,7 +178,7 @@ def header(data: bytes, at: int) -> Frame | None:
     kbps, hz, padding = BITRATES[table][index], RATES[version][rate], data[at + 2] >> 1 & 1
     samples = SAMPLES[table]
     size = (12000 * kbps // hz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + padding
-    return Frame(version, layer, not data[at + 1] & 1, hz, kbps, data[at + 3] >> 6 == 3, size, samples)
+    return Frame(version, layer, not data[at + 1] & 1, hz, kbps, data[at + 3] >> 6 == 3, size, samples, 4 + 4 * (data[at + 3] >> 4 & 3) if data[at + 3] >> 6 == 1 else 32)
 
 
 @dataclass
@@ -132,7 +187,7 @@ class Audio:
     table: str = ""
     table_frames: int = 0
     table_bytes: int = 0
-    seek: list[int] = field(default_factory=list)
+    seek: list[int] = field(default_factory=list)  # bytes from the start of the table's frame
     rate: int = 0
     samples: int = 0
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -171,10 +226,15 @@ def _table(data: bytes, at: int, f: Frame, audio: Audio) -> bool:
         if flags & 2:
             audio.table_bytes, i = int.from_bytes(data[i : i + 4], "big"), i + 4
         if flags & 4:
-            audio.seek = list(data[i : i + 100])
+            audio.seek = [x * (audio.table_bytes or len(data) - at) // 256 for x in data[i : i + 100]]
     elif data[at + 36 : at + 40] == b"VBRI":
         name = b"VBRI"
-        audio.table_bytes, audio.table_frames = struct.unpack(">II", data[at + 46 : at + 54])
+        if at + 62 > len(data):
+            return False
+        audio.table_bytes, audio.table_frames, n, scale, width, _ = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
+        toc = data[at + 62 : at + 62 + n * width]
+        parts = [scale * int.from_bytes(toc[i : i + width], "big") for i in range(0, len(toc) // width * width, width)] if width else []
+        audio.seek = [0, *accumulate(parts)][:-1]
     else:
         return False
     audio.table = name.decode()
@@ -201,11 +261,8 @@ def read(data: bytes) -> Audio:
             seen, synced = True, True
             offsets.append(at + f.size * np.arange(n, dtype=np.int64))
             samples, audio.rate = samples + n * f.samples, f.rate
-            if f.protected and f.layer == 1:
-                width = 16 if f.mono else 32
-                rows = np.concatenate([block[:n, 2:4], block[:n, 6 : 6 + width]], 1)
-                told = block[:n, 4].astype(np.uint16) << np.uint16(8) | block[:n, 5]
-                audio.checked, audio.bad = audio.checked + n, audio.bad + int((crc16(rows) != told).sum())
+            if f.protected:
+                audio.checked, audio.bad = audio.checked + n, audio.bad + failures(block[:n], f)
             if h == HEADER:
                 audio.payload += block[:n, BODY : BODY + PER_FRAME].tobytes()
             at += n * f.size
@@ -227,7 +284,7 @@ def feature(audio: Audio) -> str:
     return f"{audio.rate}:{audio.samples}:{len(audio.offsets)}:{audio.bad}:{audio.table}{audio.table_frames}:{seek:08x}"
 
 
-SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, duration_samples bigint, frames bigint, media binary"
+SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, duration_samples bigint, frames bigint, frame_offsets array<bigint>, seek_points array<bigint>, media binary"
 
 
 def store(docs: DataFrame, with_media: bool = True) -> DataFrame:
@@ -235,10 +292,11 @@ def store(docs: DataFrame, with_media: bool = True) -> DataFrame:
 
     A null text counts as empty and is stored as 64 bytes 0, like an empty one. Repeated rows give
     repeated rows, a null doc_id stays null, an empty table gives an empty table, other columns are not
-    read. A text is stored whole, one at a time. with_media=False leaves `media` null.
+    read. frame_offsets are the bytes at which frames start, seek_points those of the table, counted from
+    its own frame. A text is stored whole, one at a time. with_media=False leaves `media` null.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
@@ -248,7 +306,7 @@ def store(docs: DataFrame, with_media: bool = True) -> DataFrame:
                 media = write(pad(raw))
                 audio = read(media)
                 got = audio.payload
-                rows.append((len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(audio), audio.samples, len(audio.offsets), media if with_media else None))
+                rows.append((len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(audio), audio.samples, len(audio.offsets), audio.offsets, audio.seek, media if with_media else None))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds[1:]))], names=names)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)

@@ -255,6 +255,37 @@ def test_mpeg_reader():
         mpeg.write(b"\xff")
 
 
+def test_mpeg_offsets_checksums_and_seek_tables(spark, make):
+    r = rows_of(mpeg.store(make([(1, "x" * 1000, None, None)])))[0]
+    assert len(r["frame_offsets"]) == r["frames"] == 3 and all(r["media"][a : a + 4] == mpeg.HEADER for a in r["frame_offsets"])
+    assert len(r["seek_points"]) == 100 and r["seek_points"] == sorted(r["seek_points"])
+
+    def bit(bits):  # the checksum, bit by bit
+        c = 0xFFFF
+        for b in bits:
+            c = ((c << 1) & 0xFFFF) ^ (0x8005 if (c >> 15) != b else 0)
+        return c.to_bytes(2, "big")
+
+    unpacked = lambda x: np.unpackbits(np.frombuffer(x, np.uint8)).tolist()
+    # Layer III stereo: 32 bytes of side information. Layer II, 44.1 kHz mono, 96 kbit/s (30 subbands, 94 bits of codes), two in use: 4 bits of scfsi.
+    for head, body, covered in (((0xFF, 0xFA, 0x90, 0x04), bytes(range(32)) + bytes(379), 32 * 8), ((0xFF, 0xFC, 0x70, 0xC0), b"\x11" + bytes(306), 94 + 4)):
+        head = bytes(head)
+        size = mpeg.header(head, 0).size
+        body = body[: size - 6].ljust(size - 6, b"\0")
+        frame = head + bit(unpacked(head[2:]) + unpacked(body)[:covered]) + body
+        a = mpeg.read(frame * 3)
+        assert (len(a.offsets), a.checked, a.bad) == (3, 3, 0)
+        broken = bytearray(frame)
+        broken[7] ^= 1
+        assert mpeg.read(frame + bytes(broken) + frame).bad == 1
+    layer3 = bytes((0xFF, 0xFB, 0x90, 0xC4)) + bytes(413)
+    vbri = bytearray(layer3)
+    toc = b"".join(x.to_bytes(2, "big") for x in (417, 417, 5))
+    vbri[36 : 62 + len(toc)] = b"VBRI" + bytes(6) + (1251).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (3, 1, 2, 1)) + toc
+    a = mpeg.read(bytes(vbri) + layer3 * 2)
+    assert (a.table, a.table_frames, a.table_bytes, a.seek) == ("VBRI", 3, 1251, [0, 417, 834])
+
+
 def test_packing(spark, make, documents):
     got = rows_of(packing.pack(make(documents), PATH))
     tokenizer = Tokenizer.from_file(PATH)
