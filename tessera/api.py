@@ -15,20 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import lower
-from .operators.lower import Refused
+from .operators.instance import Refused
 from .plans import interp
 from .plans.compiler import Options, compile_component, compile_document, compile_schema, table_loader
 from .plans.model import Capability, Compiled, Exactness, Named, Plan, Record, walk
 from .plans.source import BadSchema, Library, parse
 from .plans.values import InvalidValue, decode
+from .ship import ship
 
 __all__ = [
-    "BadSchema", "Capability", "Compiled", "Exactness", "Options", "Refused", "accepts", "branches", "catalog", "compile_component", "compile_document",
-    "compile_schema", "diagnostics", "evaluate", "from_columns", "from_json", "literal_filter", "needs", "plan_rows", "project", "quarantine", "reference_edges", "register", "route", "storage_schema", "table_loader",
+    "BadSchema", "Capability", "Compiled", "Exactness", "Options", "Refused", "accepts", "branches", "catalog", "check", "compile_component", "compile_document",
+    "compile_schema", "diagnostics", "evaluate", "from_columns", "from_json", "literal_filter", "needs", "plan_rows", "project", "quarantine", "reference_edges", "register", "route", "routed", "storage_schema", "table_loader",
 ]
 
 #: Numbers whose digits or exponents VARIANT does not keep, and text after the value: only the exact evaluator reads those.
-HAZARD = r"[0-9.]{38}|[eE][+-]?[0-9]{3}"
+HAZARD = r"[0-9.]{38}|[0-9.]{17}[eE]|[eE][+-]?[0-9]{3}"
 
 
 def from_json(text: str) -> Column:
@@ -63,24 +64,94 @@ def _exact(compiled: Compiled):
     return run
 
 
+def _exact_branch(compiled: Compiled):
+    """The exact evaluator's branch as a UDF on JSON text."""
+    blob = pickle.dumps(compiled)
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        plan = pickle.loads(blob)
+        for part in parts:
+            yield part.map(lambda text: None if text is None else interp.branch(plan, decode(text)), na_action="ignore").astype("object")
+
+    return run
+
+
+def _hazard(text: str, given: Column) -> Column:
+    """Text that VARIANT does not keep as it is: a huge number, more digits than a DOUBLE has, a duplicate name."""
+    return F.col(f"`{text}`").rlike(HAZARD) | (F.col(f"`{text}`").isNotNull() & ~given)
+
+
 def accepts(compiled: Compiled, variant: str, text: str | None = None, exact: bool = True) -> Column:
     """Whether each value of a VARIANT column is accepted; NULL where there is no value.
 
     The plan runs as one native expression. Rows that it leaves undecided (see operators.lower) go to
     the exact evaluator, as JSON text: that of the column `text` if given, else printed from the VARIANT.
-    With exact=False they stay NULL. Plans that cannot be run soundly raise Refused.
+    With exact=False they stay NULL. Plans that cannot be run soundly raise Refused. Where the frame is
+    at hand, check() is faster, and takes typed columns too.
     """
-    s = lower.lowered(compiled, f"`{variant}`")
+    ship()
+    low = lower.lowered(compiled, f"`{variant}`")
+    if low.unsure and exact:
+        low = lower.lowered(compiled, f"`{variant}`", flat=True)
     given = F.col(f"`{variant}`").isNotNull()
-    native = F.expr(f"CASE WHEN `{variant}` IS NOT NULL THEN {s.accept} END")
+    native = F.expr(f"CASE WHEN `{variant}` IS NOT NULL THEN {low.closed()} END")
+    if text is None:
+        if not low.unsure or not exact:
+            return native
+        return F.coalesce(native, _exact(compiled)(F.when(given & native.isNull(), F.expr(f"to_json(`{variant}`)"))))
+    hazard = _hazard(text, given)
+    if not exact:
+        return F.when(~hazard, native)
+    undecided = hazard | native.isNull() if low.unsure else hazard
+    return F.coalesce(F.when(~hazard, native), _exact(compiled)(F.when(undecided, F.col(f"`{text}`"))))
+
+
+def _text_of(column: str, kind: T.DataType) -> str:
+    """SQL for the JSON text of a VARIANT or typed column."""
+    if isinstance(kind, T.VariantType):
+        return f"to_json(`{column}`)"
+    return f"to_json(to_variant_object(`{column}`))" if isinstance(kind, T.StructType | T.ArrayType | T.MapType) else f"to_json(CAST(`{column}` AS VARIANT))"
+
+
+def _stepped(df: DataFrame, low: lower.Lowered) -> DataFrame:
+    for level in low.steps:
+        df = df.withColumns({name: F.expr(text) for name, text in level})
+    return df
+
+
+def _prefix(df: DataFrame) -> str:
+    """A prefix that no column's name has."""
+    taken = [c.lower() for c in df.columns]
+    return next(p for n in range(len(taken) + 1) if not any(c.startswith(p := f"_t{n}_") for c in taken))
+
+
+def check(df: DataFrame, compiled: Compiled, column: str, into: str = "accepted", text: str | None = None, exact: bool = True) -> DataFrame:
+    """df with a column that tells whether the value of `column` is accepted; NULL where there is no value.
+
+    A VARIANT is tested as JSON. A struct, array, map or plain column is tested by its own type, without
+    making JSON of it: a NULL inside is a JSON null, a NULL at the root no value. What the plan needs of
+    a value is computed once, in columns below the test. Only if the plan cannot be decided natively for
+    all values does the frame have a Python operator; it gets the undecided rows' text and NULL for the
+    others. `text`, `exact` and refusals are as for accepts().
+    """
+    ship()
+    kind, prefix = df.schema[column].dataType, _prefix(df)
+    low = lower.lowered(compiled, f"`{column}`", kind, prefix=f"{prefix}s")
+    names = [c for c in df.columns if c != into]
+    given, unsure = F.col(f"`{column}`").isNotNull(), low.unsure
+    native = F.when(given, F.expr(low.accept))
     if text is not None:
-        # A duplicate name or a huge number is no VARIANT, or not the same one.
-        hazard = F.col(f"`{text}`").rlike(HAZARD) | (F.col(f"`{text}`").isNotNull() & ~given)
-        native, given, s = F.when(~hazard, native), F.col(f"`{text}`").isNotNull(), lower.Sql(s.accept, True)
-    if not s.unsure or not exact:
-        return native
-    source = F.expr(f"to_json(`{variant}`)") if text is None else F.col(f"`{text}`")
-    return F.coalesce(native, _exact(compiled)(F.when(given & native.isNull(), source)))
+        native, unsure = F.when(~_hazard(text, given), native), True
+    out = _stepped(df, low)
+    if not unsure or not exact:
+        return out.select(*(F.col(f"`{c}`") for c in names), native.alias(into))
+    given = given if text is None else F.col(f"`{text}`").isNotNull()
+    source = F.expr(_text_of(column, kind)) if text is None else F.col(f"`{text}`")
+    out = out.select(*(F.col(f"`{c}`") for c in names), native.alias(f"{prefix}native"), given.alias(f"{prefix}given"))
+    decided = F.col(f"{prefix}native")
+    rest = _exact(compiled)(F.when(F.col(f"{prefix}given") & decided.isNull(), source))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.coalesce(decided, rest).alias(into))
 
 
 VERDICT = "status string, accepted boolean, reasons array<struct<path: string, constraint: string, detail: string>>, approximated array<string>"
@@ -93,6 +164,7 @@ def evaluate(compiled: Compiled, text: str) -> Column:
     """
     if compiled.capability >= Capability.EVALUATION_STATE:
         raise Refused(f"{compiled.capability.name}: " + "; ".join(d.message for d in compiled.diagnostics if d.severity == "error"))
+    ship()
     blob = pickle.dumps(compiled)
 
     @F.pandas_udf(VERDICT)
@@ -116,8 +188,30 @@ def evaluate(compiled: Compiled, text: str) -> Column:
 
 
 def route(compiled: Compiled, variant: str) -> Column:
-    """The name of the root's branch that each value takes; NULL if it takes none."""
-    return F.expr(f"CASE WHEN `{variant}` IS NOT NULL THEN {lower.branch(compiled, f'`{variant}`')} END")
+    """The name of the root's branch that each value of a VARIANT column takes; NULL if it takes none, or there is no value."""
+    ship()
+    low = lower.branch(compiled, f"`{variant}`")
+    if low.unsure:
+        low = lower.branch(compiled, f"`{variant}`", flat=True)
+    native = F.expr(f"CASE WHEN `{variant}` IS NOT NULL THEN {low.closed()} END")
+    if not low.unsure:
+        return native
+    unknown = native == lower.UNKNOWN_BRANCH
+    return F.when(unknown, _exact_branch(compiled)(F.when(unknown, F.expr(f"to_json(`{variant}`)")))).otherwise(native)
+
+
+def routed(df: DataFrame, compiled: Compiled, column: str, into: str = "branch") -> DataFrame:
+    """df with the name of the root's branch that each value takes, of a VARIANT or typed column as in check()."""
+    ship()
+    kind, prefix = df.schema[column].dataType, _prefix(df)
+    low = lower.branch(compiled, f"`{column}`", kind, prefix=f"{prefix}s")
+    names = [F.col(f"`{c}`") for c in df.columns if c != into]
+    out = _stepped(df, low).select(*names, F.when(F.col(f"`{column}`").isNotNull(), F.expr(low.accept)).alias(into if not low.unsure else f"{prefix}native"))
+    if not low.unsure:
+        return out
+    native = F.col(f"{prefix}native")
+    rest = _exact_branch(compiled)(F.when(native == lower.UNKNOWN_BRANCH, F.expr(_text_of(column, kind))))
+    return out.select(*names, F.when(native == lower.UNKNOWN_BRANCH, rest).otherwise(native).alias(into))
 
 
 def project(compiled: Compiled, variant: str) -> Column:
@@ -140,9 +234,12 @@ def storage_schema(compiled: Compiled) -> T.DataType:
     return described(T._parse_datatype_string(lower.storage_type(compiled, compiled.plan.shape, compiled.plan.tests)), compiled.plan)
 
 
-def quarantine(df: DataFrame, compiled: Compiled, variant: str, text: str | None = None) -> DataFrame:
-    """Rows whose value is not accepted, or is not a value at all."""
-    return df.where(~F.coalesce(accepts(compiled, variant, text), F.lit(False)))
+def quarantine(df: DataFrame, compiled: Compiled, column: str, text: str | None = None) -> DataFrame:
+    """Rows whose value is not accepted, or is not a value at all; VARIANT or typed column as in check()."""
+    into = f"{_prefix(df)}accepted"
+    if isinstance(df.schema[column].dataType, T.VariantType):  # a filter moves below columns and would repeat them
+        return df.where(~F.coalesce(accepts(compiled, column, text), F.lit(False)))
+    return check(df, compiled, column, into, text).where(~F.coalesce(F.col(into), F.lit(False))).drop(into)
 
 
 def literal_filter(df: DataFrame, column: str, literals: DataFrame, key: str, keep: bool = True) -> DataFrame:
@@ -151,11 +248,18 @@ def literal_filter(df: DataFrame, column: str, literals: DataFrame, key: str, ke
     return df.join(one, F.col(f"`{column}`") == F.col("_literal"), "left_semi" if keep else "left_anti")
 
 
-def register(spark: SparkSession, name: str, compiled: Compiled) -> None:
-    """A temporary SQL function name(VARIANT) that tells whether the value is accepted; NULL where only the exact evaluator could."""
+def register(spark: SparkSession, name: str, compiled: Compiled, partial: bool = False) -> None:
+    """A temporary SQL function name(VARIANT) that tells whether the value is accepted; NULL where there is none.
+
+    A SQL function cannot call the exact evaluator, so a plan that may leave values undecided is refused,
+    unless partial: then it gives NULL for those.
+    """
     if not name.isidentifier():
         raise ValueError(f"{name} is no function name")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v VARIANT) RETURNS BOOLEAN RETURN CASE WHEN v IS NOT NULL THEN {lower.lowered(compiled, 'v').accept} END")
+    low = lower.lowered(compiled, "v")
+    if low.unsure and not partial:
+        raise Refused(f"{name} could not decide all values natively; use check(), or partial=True")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v VARIANT) RETURNS BOOLEAN RETURN CASE WHEN v IS NOT NULL THEN {low.closed()} END")
 
 
 # --- what compiling found, as tables ---

@@ -1,30 +1,34 @@
-"""Plans as Spark SQL expressions over VARIANT.
+"""Plans as Spark SQL expressions over VARIANTs or typed columns.
 
-An expression is true, false, or NULL where only the exact evaluator can tell: numbers that do not fit
-DECIMAL(38, 20), items that are not comparable as they are, recursion deeper than the unrolled levels.
+An expression is true, false, or NULL where only the exact evaluator can tell: recursion deeper than the
+unrolled levels, items that are not comparable as they are, patterns that Java has no safe equivalent of.
+What is used more than once (a field, its type) is computed once: as a column below, or as the variable
+of a lambda over one item.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
+from itertools import count
+
+from pyspark.sql import types as T
 
 from ..functions import regex
+from ..plans import interp
 from ..plans import model as m
 from ..plans.model import Plan
 from ..plans.terms import Equals
 from ..plans.values import EVERY_KIND
+from .instance import NO, UNDECIDED, YES, Refused, Scope, Sql, Value, Variant, as_array, as_map, as_text, both_text, choice, either_text, only, quoted, value_of
 
 #: Levels of a recursive reference that are written out, and the longest expression that is.
 DEPTH, LONGEST = 3, 200_000
+#: What branch() gives where only the exact evaluator can tell; no branch has this name.
+UNKNOWN_BRANCH = "?"
 
-# VARIANT's type names by kind.
-TYPES = {
-    "null": ("VOID",),
-    "boolean": ("BOOLEAN",),
-    "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"),
-    "string": ("STRING", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "BINARY", "UUID"),
-}
 # Storage types by format.
 FORMATS = {"int32": "int", "int64": "bigint", "float": "float", "double": "double", "decimal": "decimal(38,18)", "date-time": "timestamp", "date": "date", "byte": "binary", "binary": "binary"}
 
@@ -33,171 +37,110 @@ class TooLong(Exception):
     """The expression would be too long; the exact evaluator runs the plan instead."""
 
 
-class Refused(ValueError):
-    """The plan cannot be run soundly; the message says why."""
-
-
-def quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r") + "'"
-
-
-@dataclass(frozen=True)
-class Sql:
-    """accept: true, false or NULL; unsure: whether it may be NULL; guess: true where a constraint was not enforced."""
-
-    accept: str
-    unsure: bool = False
-    guess: str = "false"
-
-
-YES, NO = Sql("true"), Sql("false")
-UNDECIDED = Sql("CAST(NULL AS BOOLEAN)", True)
-
-
 def both(parts: list[Sql]) -> Sql:
-    parts = [p for p in parts if p.accept != "true" or p.guess != "false"]
-    if any(p.accept == "false" for p in parts):
+    accept = both_text(p.accept for p in parts)
+    if accept == "false":
         return NO
-    tests = list(dict.fromkeys(p.accept for p in parts if p.accept != "true"))
-    return Sql("(" + " AND ".join(tests) + ")" if len(tests) > 1 else tests[0] if tests else "true", any(p.unsure for p in parts), either_text(p.guess for p in parts))
-
-
-def either_text(parts) -> str:
-    parts = list(dict.fromkeys(p for p in parts if p != "false"))
-    return "true" if "true" in parts else "(" + " OR ".join(parts) + ")" if len(parts) > 1 else parts[0] if parts else "false"
-
-
-def word(x: str) -> str:
-    """VARIANT's type name of a scalar."""
-    return f"split_part(schema_of_variant({x}), '(', 1)"
-
-
-def as_map(x: str) -> str:
-    return f"try_cast({x} AS MAP<STRING, VARIANT>)"
-
-
-def as_array(x: str) -> str:
-    return f"try_cast({x} AS ARRAY<VARIANT>)"
-
-
-def as_text(x: str) -> str:
-    return f"try_cast({x} AS STRING)"
+    return Sql(accept, any(p.unsure for p in parts), either_text(p.guess for p in parts))
 
 
-def as_number(x: str) -> str:
-    """The exact number, or NULL."""
-    return (
-        f"CASE WHEN {word(x)} IN ('DOUBLE', 'FLOAT') THEN CASE WHEN try_cast({x} AS DOUBLE) = 0 OR abs(try_cast({x} AS DOUBLE)) BETWEEN 1e-3 AND 1e17 "
-        f"THEN try_cast({as_text(x)} AS DECIMAL(38, 20)) END WHEN {word(x)} = 'DECIMAL' AND "
-        f"CAST(regexp_extract(schema_of_variant({x}), ',([0-9]+)', 1) AS INT) > 20 THEN NULL ELSE try_cast({x} AS DECIMAL(38, 20)) END"
-    )
+def under(test: str, s: Sql, other: str = "true") -> Sql:
+    """s where the test holds, else `other`."""
+    if test == "false":
+        return Sql(other)
+    return Sql(choice(test, s.accept, other), s.unsure, both_text([test, s.guess]))
 
 
 def of_kind(x: str, kinds: frozenset[str]) -> str:
-    if kinds == EVERY_KIND:
-        return "true"
-    tests = []
-    if names := [n for k in TYPES if k in kinds for n in TYPES[k]]:
-        tests.append(f"{word(x)} IN ({', '.join(map(quoted, names))})")
-    tests += [f"{as_map(x)} IS NOT NULL"] if "object" in kinds else []
-    tests += [f"{as_array(x)} IS NOT NULL"] if "array" in kinds else []
-    return either_text(tests) if tests else "false"
-
-
-def decimal(value: Decimal) -> str | None:
-    """A DECIMAL(38, 20) literal, if the value is one."""
-    _, digits, exponent = value.as_tuple()
-    if exponent < -20 or len(digits) + exponent > 18:
-        return None
-    return f"CAST('{value:f}' AS DECIMAL(38, 20))"
+    names = count()
+    scope = Scope(lambda: f"kind{next(names)}")
+    return scope.closed(Variant(x, scope).is_kind(kinds))
 
 
 class Lowering:
-    def __init__(self, compiled: m.Compiled, depth: int = DEPTH, longest: int = LONGEST) -> None:
-        self.compiled, self.depth, self.longest, self.names = compiled, depth, longest, 0
+    def __init__(self, compiled: m.Compiled, depth: int = DEPTH, longest: int = LONGEST, prefix: str = "x", flat: bool = False) -> None:
+        self.compiled, self.depth, self.longest, self.prefix, self.flat, self.names = compiled, depth, longest, prefix, flat, 0
         self.open: list[str] = []  # references being written out
+        self.scope = Scope(self.variable, flat)
 
     def variable(self) -> str:
         self.names += 1
-        return f"x{self.names}"
+        return f"{self.prefix}{self.names}"
 
     def checked(self, s: Sql) -> Sql:
-        if len(s.accept) > self.longest:
+        if len(s.accept) + sum(map(len, self.scope.by_text)) > self.longest:
             raise TooLong
         return s
 
-    def plan(self, p: Plan, x: str, active: tuple[str, ...] = ()) -> Sql:
+    def plan(self, p: Plan, v: Value, active: tuple[str, ...] = ()) -> Sql:
         parts = []
-        for t in p.tests:
+        for t in sorted(p.tests, key=lambda t: t.predicate is not None):  # what is asserted of the kind holds for what follows
+            test = v.is_kind(t.guard)
             if t.predicate is None:
-                parts.append(Sql(of_kind(x, t.guard)))
-            else:
-                parts.append(self.guarded(x, t.guard, self.predicate(t.predicate, x, active)))
-        return self.checked(both([*parts, self.route(p.route, x, active)]))
-
-    def guarded(self, x: str, guard: frozenset[str], s: Sql) -> Sql:
-        test = of_kind(x, guard)
-        if test == "true" or s == YES:
-            return s
-        accept = "true" if s.accept == "true" else f"CASE WHEN {test} THEN {s.accept} ELSE true END"
-        return Sql(accept, s.unsure, "false" if s.guess == "false" else f"({test} AND {s.guess})")
-
-    def each(self, array: str, variable: str, s: Sql) -> Sql:
+                parts.append(Sql(test))
+                v = v.assuming(t.guard)
+            elif test != "false":
+                parts.append(under(test, self.predicate(t.predicate, v.assuming(t.guard), active)))
+        if not v.known:
+            return NO
+        return self.checked(both([*parts, self.route(p.route, v, active)]))
+
+    def within(self, make: Callable[[str, Scope], Value], test: Callable[[str, Value], Sql]) -> tuple[str, Sql]:
+        """(variable, test of a lambda's value by it), closed over what the test names."""
+        v, scope = self.variable(), Scope(self.variable, self.flat)
+        s = test(v, make(v, scope))
+        return v, Sql(scope.closed(s.accept), s.unsure, scope.closed(s.guess))
+
+    def each(self, array: str, v: str, s: Sql) -> Sql:
         """All items satisfy s."""
-        if s == YES:
-            return YES
-        accept = f"forall({array}, {variable} -> {s.accept})" if s.accept != "true" else "true"
-        return Sql(accept, s.unsure, "false" if s.guess == "false" else f"exists({array}, {variable} -> {s.guess})")
+        accept = "true" if s.accept == "true" else f"forall({array}, {v} -> {s.accept})"
+        return Sql(accept, s.unsure, "false" if s.guess == "false" else f"exists({array}, {v} -> {s.guess})")
 
-    def predicate(self, p: m.Predicate, x: str, active: tuple[str, ...]) -> Sql:
+    def predicate(self, p: m.Predicate, v: Value, active: tuple[str, ...]) -> Sql:
         match p:
             case m.Integer():
-                return Sql(f"({as_number(x)}) = floor({as_number(x)})", True)
+                return v.integer()
             case m.MinLength(n):
-                return Sql(f"length({as_text(x)}) >= {n}")
+                return Sql(f"length({v.text}) >= {n}")
             case m.MaxLength(n):
-                return Sql(f"length({as_text(x)}) <= {n}")
+                return Sql(f"length({v.text}) <= {n}")
             case m.MinItems(n):
-                return Sql(f"size({as_array(x)}) >= {n}")
+                return Sql(f"{v.n_items()} >= {n}")
             case m.MaxItems(n):
-                return Sql(f"size({as_array(x)}) <= {n}")
+                return Sql(f"{v.n_items()} <= {n}")
             case m.MinProperties(n):
-                return Sql(f"size({as_map(x)}) >= {n}")
+                return Sql(f"{v.n_names()} >= {n}")
             case m.MaxProperties(n):
-                return Sql(f"size({as_map(x)}) <= {n}")
+                return Sql(f"{v.n_names()} <= {n}")
             case m.Pattern(pattern):
-                return self.matches(pattern, as_text(x))
+                return self.matches(pattern, v.text)
             case m.Format():
                 return Sql("true", guess="true")
             case m.Minimum(bound, exclusive):
-                return self.compared(x, ">" if exclusive else ">=", bound)
+                return v.compared(bound, True, exclusive)
             case m.Maximum(bound, exclusive):
-                return self.compared(x, "<" if exclusive else "<=", bound)
+                return v.compared(bound, False, exclusive)
             case m.MultipleOf(of):
-                literal = decimal(of)
-                return Sql(f"try_mod({as_number(x)}, {literal}) = 0", True) if literal else UNDECIDED
+                return v.multiple(of)
             case m.UniqueItems():
-                a, v = as_array(x), self.variable()
-                same = lambda kind: f"forall({a}, {v} -> {word(v)} = '{kind}')"
-                distinct = f"size(array_distinct(transform({a}, {v} -> {as_text(v)}))) = size({a})"
-                return Sql(f"CASE WHEN size({a}) < 2 THEN true WHEN {same('STRING')} OR {same('BIGINT')} THEN {distinct} END", True)
+                return v.unique(self.variable())
             case m.ContainsCount(plan, least, most):
-                a, v = as_array(x), self.variable()
-                s = self.plan(plan, v)
-                n = f"size(filter({a}, {v} -> coalesce({s.accept}, false)))"
+                a, make = v.items()
+                x, s = self.within(make, lambda _, item: self.plan(plan, item))
+                n = f"size(filter({a}, {x} -> coalesce({s.accept}, false)))"
                 test = f"{n} >= {least}" if most is None else f"{n} BETWEEN {least} AND {most}"
                 if s.unsure:
-                    test = f"CASE WHEN exists({a}, {v} -> ({s.accept}) IS NULL) THEN NULL ELSE {test} END"
-                return Sql(test, s.unsure, "false" if s.guess == "false" else f"exists({a}, {v} -> {s.guess})")
+                    test = f"CASE WHEN exists({a}, {x} -> ({s.accept}) IS NULL) THEN NULL ELSE {test} END"
+                return Sql(test, s.unsure, "false" if s.guess == "false" else f"exists({a}, {x} -> {s.guess})")
             case m.Negation(plan):
-                s = self.plan(plan, x, active)
-                return Sql(f"(NOT {s.accept} OR {s.guess})" if s.guess != "false" else f"(NOT {s.accept})", s.unsure, s.guess)
+                s = self.plan(plan, v, active)
+                return Sql(either_text([choice(s.accept, "false", "true") if s.accept in ("true", "false") else f"(NOT {s.accept})", s.guess]), s.unsure, s.guess)
             case m.Conforms(plan):
-                return self.plan(plan, x, active)
+                return self.plan(plan, v, active)
             case m.ObjectStructure(record):
-                return self.record(record, x)
+                return self.record(record, v)
             case m.ArrayStructure(sequence):
-                return self.sequence(sequence, x)
+                return self.sequence(sequence, v)
             case m.Reference(name):
                 if name in active:
                     raise Refused(f"{name} refers to itself on the same value")
@@ -205,19 +148,25 @@ class Lowering:
                     return UNDECIDED
                 self.open.append(name)
                 try:
-                    return self.plan(self.compiled.look_up(name), x, (*active, name))
+                    return self.plan(self.compiled.look_up(name), v, (*active, name))
                 finally:
                     self.open.pop()
             case m.Required(names):
-                return Sql("(" + " AND ".join(f"map_contains_key({as_map(x)}, {quoted(n)})" for n in names) + ")")
+                return Sql(both_text(v.field(n)[0] for n in names))
             case m.DependentRequired(name, needs):
-                has = lambda n: f"map_contains_key({as_map(x)}, {quoted(n)})"
-                return Sql(f"(NOT {has(name)} OR ({' AND '.join(map(has, needs))}))")
+                return under(v.field(name)[0], Sql(both_text(v.field(n)[0] for n in needs)))
             case m.PropertyNames(plan):
-                v = self.variable()
-                return self.each(f"transform(map_keys({as_map(x)}), k -> CAST(k AS VARIANT))", v, self.plan(plan, v))
+                if (names := v.names()) is not None:
+                    return both([self.named(plan, n) for n in names])
+                x, s = self.within(lambda key, scope: value_of(key, T.StringType(), False, scope), lambda _, key: self.plan(plan, key))
+                return self.each(v.keys(), x, s)
         raise TypeError(f"unknown predicate {p!r}")
 
+    def named(self, plan: Plan, name: str) -> Sql:
+        """The plan on a name that is known."""
+        verdict = interp.interpret(m.Compiled(plan, self.compiled.definitions, m.Capability.DIRECT_TYPE, m.Exactness.EXACT_WITH_VALIDATION, [], []), name)
+        return Sql("true", guess=str(bool(verdict.approximated)).lower()) if verdict.accepted else NO
+
     def matches(self, pattern: str, text: str) -> Sql:
         found = regex.translate(pattern)
         if found.python is None:
@@ -226,155 +175,214 @@ class Lowering:
             return UNDECIDED
         return Sql(f"{text} RLIKE {quoted(found.java)}")
 
-    def compared(self, x: str, operator: str, bound: Decimal) -> Sql:
-        literal = decimal(bound)
-        return Sql(f"({as_number(x)}) {operator} {literal}", True) if literal else UNDECIDED
-
-    def record(self, r: m.Record, x: str) -> Sql:
-        parts, a = [], as_map(x)
+    def record(self, r: m.Record, v: Value) -> Sql:
+        parts = []
         for f in r.fields:
-            at = f"try_element_at({a}, {quoted(f.name)})"
-            s = self.plan(f.plan, at)
-            if s == YES:
+            there, x = v.field(f.name)
+            if there == "false":
                 continue
-            absent = f"NOT map_contains_key({a}, {quoted(f.name)})" + (f" OR is_variant_null({at})" if f.nullable else "")
-            parts.append(Sql("true" if s.accept == "true" else f"CASE WHEN {absent} THEN true ELSE {s.accept} END", s.unsure, "false" if s.guess == "false" else f"(NOT ({absent}) AND {s.guess})"))
-        v = self.variable()
-        rest = self.plan(r.additional, f"{v}.value")
-        tests, unknown = [], False
+            null = x.is_null_text() if f.nullable else "false"
+            if null != "true":
+                s = under("true" if null == "false" else f"NOT {null}", self.plan(f.plan, x.assuming(EVERY_KIND - only("null")) if f.nullable else x))
+                parts.append(under(there, s))
+        declared = {f.name for f in r.fields}
+        if (names := v.names()) is not None:
+            parts += [self.free(r, n, v.field(n)[1]) for n in names if n not in declared]
+            return both(parts)
+        array, make = v.entries()
+        unsure = False
+
+        def entry(x: str, value: Value) -> Sql:
+            nonlocal unsure
+            hits = [(self.matches(pattern, f"{x}.key"), plan) for pattern, plan in r.patterns]
+            unknown = any(h.accept == "true" for h, _ in hits)  # undecidable: the name is claimed, its value not constrained
+            unsure = any(h.unsure for h, _ in hits)
+            known = [(h.accept, self.plan(plan, value)) for h, plan in hits if h.accept != "true" and not h.unsure]
+            rest = Sql("true", guess="true") if unknown else self.plan(r.additional, value)
+            own = under(both_text(f"NOT {h}" for h, _ in known), rest)
+            s = both([*(under(h, s) for h, s in known), own])
+            return under(f"{x}.key NOT IN ({', '.join(map(quoted, sorted(declared)))})", s) if declared else s
+
+        x, s = self.within(make, entry)
+        return UNDECIDED if unsure else both([*parts, self.each(array, x, s)])
+
+    def free(self, r: m.Record, name: str, value: Value) -> Sql:
+        """A name that is known and not declared: patterns that match it, else the rest."""
+        parts, claimed = [], False
         for pattern, plan in r.patterns:
-            hit = self.matches(pattern, f"{v}.key")
-            if hit.accept == "true":  # undecidable: the name is claimed, its value not constrained
-                unknown = True
-            elif hit.unsure:
-                return UNDECIDED
-            else:
-                tests.append((hit.accept, self.plan(plan, f"{v}.value")))
-        if unknown:
-            rest = Sql("true", guess="true")
-        if tests or rest != YES:
-            claims = [Sql(f"CASE WHEN {hit} THEN {s.accept} ELSE true END", s.unsure, "false" if s.guess == "false" else f"({hit} AND {s.guess})") for hit, s in tests]
-            free = " AND ".join(f"NOT {hit}" for hit, _ in tests) or "true"
-            own = Sql(f"CASE WHEN {free} THEN {rest.accept} ELSE true END" if tests else rest.accept, rest.unsure, "false" if rest.guess == "false" else f"({free} AND {rest.guess})")
-            s = both([*claims, own])
-            declared = f"{v}.key IN ({', '.join(quoted(f.name) for f in r.fields)})" if r.fields else "false"
-            s = Sql(f"CASE WHEN {declared} THEN true ELSE {s.accept} END" if r.fields else s.accept, s.unsure, "false" if s.guess == "false" else f"(NOT {declared} AND {s.guess})")
-            parts.append(self.each(f"map_entries({a})", v, s))
-        return both(parts)
-
-    def sequence(self, q: m.Sequence, x: str) -> Sql:
-        parts, a = [], as_array(x)
-        for i, plan in enumerate(q.prefix):
-            s = self.plan(plan, f"try_element_at({a}, {i + 1})")
-            if s != YES:
-                parts.append(Sql(f"CASE WHEN size({a}) <= {i} THEN true ELSE {s.accept} END", s.unsure, "false" if s.guess == "false" else f"(size({a}) > {i} AND {s.guess})"))
+            hit = regex.search(pattern, name)
+            claimed = claimed or hit is not False
+            if hit:
+                parts.append(self.plan(plan, value))
+            elif hit is None:
+                parts.append(Sql("true", guess="true"))
+        return both(parts if claimed else [*parts, self.plan(r.additional, value)])
+
+    def sequence(self, q: m.Sequence, v: Value) -> Sql:
+        parts, size = [], v.n_items()
+        parts += [under(f"{size} > {i}", self.plan(plan, v.item(i))) for i, plan in enumerate(q.prefix)]
         n = len(q.prefix)
         if q.rest is None:
-            parts.append(Sql(f"size({a}) <= {n}"))
-        else:
-            v = self.variable()
-            rest = f"slice({a}, {n + 1}, greatest(size({a}), 1))" if n else a
-            parts.append(self.each(rest, v, self.plan(q.rest, v)))
-        return both(parts)
+            return both([*parts, Sql(f"{size} <= {n}")])
+        array, make = v.items(n)
+        return both([*parts, self.each(array, *self.within(make, lambda _, item: self.plan(q.rest, item)))])
 
     # --- routes ---
 
-    def equal(self, e: Equals, x: str) -> Sql:
+    def equal(self, e: Equals, v: Value) -> Sql:
+        """Whether the value is the literal; never NULL."""
         k, value = e.shape[0], e.value
-        is_kind = of_kind(x, frozenset((k,)))
+        is_kind = v.is_kind(only(k))
+        if is_kind == "false":
+            return NO
         if k == "null":
             return Sql(is_kind)
         if k == "boolean":
-            return Sql(f"({is_kind} AND try_cast({x} AS BOOLEAN) = {str(value).lower()})")
+            return Sql(v.is_boolean(value))
         if k == "string":
-            return Sql(f"({is_kind} AND {as_text(x)} = {quoted(value)})")
+            return Sql(v.is_text([value]))
         if k == "number":
-            literal = decimal(Decimal(value))
-            return Sql(f"CASE WHEN {is_kind} THEN {f'({as_number(x)}) = {literal}' if literal else 'NULL'} ELSE false END", True)
+            return v.is_number(Decimal(value))
         if k == "array":
-            parts = [self.equal(Equals.of(v), f"try_element_at({as_array(x)}, {i + 1})") for i, v in enumerate(value)]
-            inner = both([Sql(f"size({as_array(x)}) = {len(value)}"), *parts])
-        else:
-            parts = []
-            for n, v in value.items():
-                s = self.equal(Equals.of(v), f"try_element_at({as_map(x)}, {quoted(n)})")
-                parts.append(Sql(f"CASE WHEN map_contains_key({as_map(x)}, {quoted(n)}) THEN {s.accept} ELSE false END", s.unsure))
-            inner = both([Sql(f"size({as_map(x)}) = {len(value)}"), *parts])
-        return Sql(f"CASE WHEN {is_kind} THEN {inner.accept} ELSE false END", inner.unsure)
+            parts = [self.equal(Equals.of(x), v.item(i)) for i, x in enumerate(value)]
+            return under(is_kind, both([Sql(f"{v.n_items()} = {len(value)}"), *parts]), "false")
+        parts = [Sql(f"{v.n_names()} = {len(value)}")]
+        for n, x in value.items():
+            there, inner = v.field(n)
+            parts.append(NO if there == "false" else under(there, self.equal(Equals.of(x), inner), "false"))
+        return under(is_kind, both(parts), "false")
 
     def cases(self, cases: list[tuple[Sql, Sql]]) -> Sql:
         """The first case that holds decides; no case: false. A case that is undecided leaves all undecided, unless another one holds."""
+        cases = [(c, s) for c, s in cases if c.accept != "false"]
         if not cases:
             return NO
         unsure = [c.accept for c, _ in cases if c.unsure]
+        guess = either_text(both_text([c.accept, s.guess]) for c, s in cases if s.guess != "false")
+        if cases[0][0].accept == "true":
+            return Sql(cases[0][1].accept, cases[0][1].unsure, cases[0][1].guess)
         text = "CASE " + " ".join(f"WHEN {c.accept} THEN {s.accept}" for c, s in cases)
         text += (f" WHEN {' OR '.join(f'({u}) IS NULL' for u in unsure)} THEN NULL" if unsure else "") + " ELSE false END"
-        guess = either_text(f"({c.accept} AND {s.guess})" for c, s in cases if s.guess != "false")
         return Sql(text, bool(unsure) or any(s.unsure for _, s in cases), guess)
 
-    def route(self, r: m.Route, x: str, active: tuple[str, ...]) -> Sql:
+    def route(self, r: m.Route, v: Value, active: tuple[str, ...]) -> Sql:
         match r:
             case m.Straight():
                 return YES
             case m.ByKind(cases):
-                return self.cases([(Sql(of_kind(x, frozenset((k,)))), self.plan(p, x, active)) for k, p in cases])
+                parts = [(k, self.plan(p, v.assuming(only(k)), active)) for k, p in cases if k in v.known]
+                free = frozenset(k for k, s in parts if s == YES)
+                tests = [(Sql(v.is_kind(only(k))), s) for k, s in parts if k not in free]
+                # What is left when the others are told apart needs no test.
+                rest = v.assuming(EVERY_KIND - {k for k, _ in parts if k not in free})
+                return self.cases([*tests, (Sql(rest.is_kind(free)), YES)])
             case m.ByLiteral(cases):
-                return self.literals(cases, x, active)
+                return self.literals(cases, v, active)
             case m.ByProperty(name, cases):
-                at = f"try_element_at({as_map(x)}, {quoted(name)})"
-                there = f"map_contains_key({as_map(x)}, {quoted(name)})"
-                s = self.cases([(self.equal(e, at), self.plan(p, x, active)) for e, p in cases])
-                test = f"{of_kind(x, frozenset(('object',)))} AND {there}"
-                return Sql(f"CASE WHEN {test} THEN {s.accept} ELSE false END", s.unsure, "false" if s.guess == "false" else f"({test} AND {s.guess})")
+                there, at = v.field(name)
+                test = both_text([v.is_kind(only("object")), there])
+                if test == "false":
+                    return NO
+                v = v.assuming(only("object"))
+                return under(test, self.cases([(self.equal(e, at), self.plan(p, v, active)) for e, p in cases]), "false")
             case m.ByPresence(name, present, absent):
-                there = Sql(f"coalesce(map_contains_key({as_map(x)}, {quoted(name)}), false)")
-                return self.cases([(there, self.plan(present, x, active)), (Sql("true"), self.plan(absent, x, active))])
+                there = v.field(name)[0]
+                return self.cases([(Sql(both_text([v.is_kind(only("object")), there])), self.plan(present, v, active)), (YES, self.plan(absent, v, active))])
             case m.ByCount(branches, least, most):
-                parts = [self.plan(p, x, active) for p in branches]
+                parts = [self.plan(p, v, active) for p in branches]
                 unsure, guess = any(p.unsure for p in parts), either_text(p.guess for p in parts)
                 if least == 1 and most >= len(parts):
-                    return Sql("(" + " OR ".join(p.accept for p in parts) + ")", unsure, guess)
+                    return Sql(either_text(p.accept for p in parts) if len(set(parts)) == len(parts) else "(" + " OR ".join(p.accept for p in parts) + ")", unsure, guess)
                 return Sql(f"({' + '.join(f'CAST({p.accept} AS INT)' for p in parts)}) BETWEEN {least} AND {most}", unsure, guess)
         raise TypeError(f"unknown route {r!r}")
 
-    def literals(self, cases: tuple[tuple[Equals, Plan], ...], x: str, active: tuple[str, ...]) -> Sql:
-        plans = [self.plan(p, x, active) for _, p in cases]
+    def literals(self, cases: tuple[tuple[Equals, Plan], ...], v: Value, active: tuple[str, ...]) -> Sql:
         texts = [e.value for e, _ in cases if e.shape[0] == "string"]
-        # A literal's own plan only repeats that the value is the literal.
-        if len(texts) == len(cases) and all(isinstance(p.shape, m.Scalar | m.AnyShape) and all(t.predicate is None for t in p.tests) for _, p in cases):
-            return Sql(f"({of_kind(x, frozenset(('string',)))} AND {as_text(x)} IN ({', '.join(map(quoted, texts))}))")
-        return self.cases([(self.equal(e, x), s) for (e, _), s in zip(cases, plans)])
+        # A literal's own plan often only repeats that the value is the literal.
+        if len(texts) == len(cases) and all(isinstance(p.shape, m.Scalar | m.AnyShape) and isinstance(p.route, m.Straight) and all(t.predicate is None for t in p.tests) for _, p in cases):
+            return Sql(v.is_text(texts))
+        return self.cases([(self.equal(e, v), self.plan(p, v.assuming(only(e.shape[0])), active)) for e, p in cases if e.shape[0] in v.known])
+
+
+@dataclass(frozen=True)
+class Lowered:
+    """A plan's expression with the columns that it needs below it: lists of (name, SQL), each over those before."""
+
+    accept: str
+    unsure: bool
+    steps: tuple[tuple[tuple[str, str], ...], ...] = ()
+
+    def closed(self) -> str:
+        """All in one expression."""
+        text = self.accept
+        for name, expression in reversed([x for level in self.steps for x in level]):
+            text = f"transform(array({expression}), {name} -> {text})[0]"
+        return text
+
+
+def levels(steps: list[tuple[str, str]]) -> tuple[tuple[tuple[str, str], ...], ...]:
+    """Steps by how many others they build on."""
+    depth: dict[str, int] = {}
+    for name, text in steps:
+        depth[name] = 1 + max((depth[n] for n in depth if n in text and re.search(rf"\b{n}\b", text)), default=-1)
+    return tuple(tuple(s for s in steps if depth[s[0]] == k) for k in range(max(depth.values(), default=-1) + 1))
 
 
-def lowered(compiled: m.Compiled, x: str, depth: int = DEPTH) -> Sql:
-    """The plan on a VARIANT expression that is not SQL NULL. Plans that cannot be run soundly are refused."""
+def checked_plan(compiled: m.Compiled) -> None:
     if compiled.capability >= m.Capability.EVALUATION_STATE:
         raise Refused(f"{compiled.capability.name}: " + "; ".join(d.message for d in compiled.diagnostics if d.severity == "error"))
+
+
+def lowered(compiled: m.Compiled, x: str, kind: T.DataType | None = None, depth: int = DEPTH, prefix: str = "x", flat: bool = False) -> Lowered:
+    """The plan on an expression (a VARIANT, or of the type given) that is not SQL NULL. Plans that cannot be run soundly are refused."""
+    checked_plan(compiled)
+    low = Lowering(compiled, depth, prefix=prefix, flat=flat)
     try:
-        return Lowering(compiled, depth).plan(compiled.plan, x)
-    except TooLong:
-        return UNDECIDED
+        s = low.plan(compiled.plan, value_of(x, kind or T.VariantType(), False, low.scope))
+        steps, (accept,) = low.scope.steps(s.accept)
+        if len(accept) > LONGEST:
+            raise TooLong
+    except (TooLong, RecursionError):
+        return Lowered(UNDECIDED.accept, True)
+    return Lowered(accept, s.unsure, levels(steps))
+
+
+def branch(compiled: m.Compiled, x: str, kind: T.DataType | None = None, prefix: str = "x", flat: bool = False) -> Lowered:
+    """An expression that names the root route's branch; NULL if none is taken, UNKNOWN_BRANCH if only the exact evaluator can tell."""
+    checked_plan(compiled)
+    low, r = Lowering(compiled, prefix=prefix, flat=flat), compiled.plan.route
+    v = value_of(x, kind or T.VariantType(), False, low.scope)
 
+    def case(tests: list[tuple[Sql, str]]) -> Sql:
+        tests = [(t, n) for t, n in tests if t.accept != "false"]
+        unsure = [t.accept for t, _ in tests if t.unsure]
+        text = " ".join(f"WHEN {t.accept} THEN {quoted(n)}" for t, n in tests) + (f" WHEN {' OR '.join(f'({u}) IS NULL' for u in unsure)} THEN '{UNKNOWN_BRANCH}'" if unsure else "")
+        return Sql(f"CASE {text} END" if tests else "CAST(NULL AS STRING)", bool(unsure))
 
-def branch(compiled: m.Compiled, x: str) -> str:
-    """An expression that names the root route's branch; NULL if none is taken (or only the exact evaluator can tell)."""
-    low, r = Lowering(compiled), compiled.plan.route
     match r:
         case m.Straight():
-            return "'-'"
+            s = Sql("'-'")
         case m.ByKind(cases):
-            return "CASE " + " ".join(f"WHEN {of_kind(x, frozenset((k,)))} THEN {quoted(k)}" for k, _ in cases) + " END"
+            s = case([(Sql(v.is_kind(only(k))), k) for k, _ in cases])
         case m.ByLiteral(cases):
-            return "CASE " + " ".join(f"WHEN {low.equal(e, x).accept} THEN {quoted(e.text)}" for e, _ in cases) + " END"
+            s = case([(low.equal(e, v), e.text) for e, _ in cases])
         case m.ByProperty(name, cases):
-            at = f"try_element_at({as_map(x)}, {quoted(name)})"
-            return f"CASE WHEN {at} IS NOT NULL THEN CASE " + " ".join(f"WHEN {low.equal(e, at).accept} THEN {quoted(e.text)}" for e, _ in cases) + " END END"
+            there, at = v.field(name)
+            test = both_text([v.is_kind(only("object")), there])
+            inner = case([(low.equal(e, at), e.text) for e, _ in cases] if test != "false" else [])
+            s = Sql(choice(test, inner.accept, "CAST(NULL AS STRING)"), inner.unsure)
         case m.ByPresence(name):
-            return f"CASE WHEN coalesce(map_contains_key({as_map(x)}, {quoted(name)}), false) THEN {quoted('with ' + name)} ELSE {quoted('without ' + name)} END"
+            s = Sql(choice(both_text([v.is_kind(only("object")), v.field(name)[0]]), quoted("with " + name), quoted("without " + name)))
         case m.ByCount(branches):
-            hits = ", ".join(f"CASE WHEN {low.plan(p, x).accept} THEN '{i}' END" for i, p in enumerate(branches))
-            return f"nullif(array_join(array({hits}), ','), '')"
-    raise TypeError(f"unknown route {r!r}")
+            parts = [low.plan(p, v) for p in branches]
+            taken = ", ".join(f"CASE WHEN {p.accept} THEN '{i}' END" for i, p in enumerate(parts))
+            hits = f"nullif(array_join(array({taken}), ','), '')"
+            unknown = [f"({p.accept}) IS NULL" for p in parts if p.unsure]
+            s = Sql(choice(either_text(unknown), quoted(UNKNOWN_BRANCH), hits) if unknown else hits, bool(unknown))
+        case _:
+            raise TypeError(f"unknown route {r!r}")
+    steps, (accept,) = low.scope.steps(s.accept)
+    return Lowered(accept, s.unsure, levels(steps))
 
 
 # --- storage ---

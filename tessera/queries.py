@@ -22,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Count:
-    """Accepted instances by group: `instance` is SQL for a VARIANT, `where` the same test on columns."""
+    """Accepted instances by group: `instance` is SQL for a VARIANT or a typed value, `where` the same test on columns."""
 
     table: str
     group: str
@@ -33,15 +33,15 @@ class Count:
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         compiled = api.compile_schema(self.schema)
         df = read(spark, sf_dir, self.table).select(F.col(self.group).alias("grp"), F.expr(self.instance).alias("v"))
-        return df.select("grp", api.accepts(compiled, "v").alias("ok")).groupBy("grp").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_valid"))
+        return api.check(df, compiled, "v", "ok").groupBy("grp").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_valid"))
 
     def sql(self) -> str:
         return f"SELECT {self.group} AS grp, count(*) AS n, count(*) FILTER (WHERE {self.where}) AS n_valid FROM {self.table} GROUP BY 1"
 
 
 def obj(**columns: str) -> str:
-    """A VARIANT object of columns; NULLs are JSON nulls."""
-    return "to_variant_object(named_struct(" + ", ".join(f"'{n}', {e}" for n, e in columns.items()) + "))"
+    """An object of columns; NULLs are JSON nulls."""
+    return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in columns.items()) + ")"
 
 
 def sparse(**columns: str) -> str:
@@ -58,14 +58,14 @@ COUNTS = {
     "events_valid": Count("events", "event_type", "try_parse_json(props)", '{"type":"object","required":["k"],"additionalProperties":false,"properties":{"k":{"type":"integer","minimum":0,"maximum":50}}}', f"{K} BETWEEN 0 AND 50"),
     "type_assert": Count("events", "event_type", "try_parse_json(props)", '{"type":"object"}', "json_type(props) = 'OBJECT'"),
     "type_union": Count("part", "p_brand", "if(p_size < 10, CAST(p_name AS VARIANT), if(p_size < 30, CAST(p_size AS VARIANT), CAST(true AS VARIANT)))", '{"type":["string","number"]}', "p_size < 30"),
-    "integer_domain": Count("lineitem", "l_returnflag", "CAST(l_extendedprice AS VARIANT)", '{"type":"integer"}', "l_extendedprice = floor(l_extendedprice)"),
-    "numeric_bounds": Count("lineitem", "l_returnflag", "CAST(l_discount AS VARIANT)", '{"minimum":0.02,"maximum":0.08}', "l_discount >= 0.02::DOUBLE AND l_discount <= 0.08::DOUBLE"),
-    "exclusive_bounds": Count("orders", "o_orderstatus", "CAST(o_totalprice AS VARIANT)", '{"type":"number","exclusiveMinimum":50000,"exclusiveMaximum":300000}', "o_totalprice > 50000 AND o_totalprice < 300000"),
-    "multiple_of": Count("lineitem", "l_linestatus", "CAST(l_quantity AS VARIANT)", '{"multipleOf":2.5}', "CAST(l_quantity AS DECIMAL(18, 4)) % 2.5 = 0"),
-    "string_length": Count("part", "p_brand", "CAST(p_name AS VARIANT)", '{"type":"string","minLength":8,"maxLength":14}', "length(p_name) BETWEEN 8 AND 14"),
-    "string_pattern": Count("part", "p_brand", "CAST(p_type AS VARIANT)", '{"type":"string","pattern":"^[A-M]\\\\w* ?.*[A-Z]$"}', "regexp_matches(p_type, '^[A-M][A-Za-z0-9_]* ?.*[A-Z]$')"),
-    "enum_literal": Count("orders", "o_orderstatus", "CAST(o_orderpriority AS VARIANT)", '{"enum":["1-URGENT","2-HIGH",null,7]}', "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
-    "const_tag": Count("customer", "c_nationkey", "CAST(c_mktsegment AS VARIANT)", '{"const":"BUILDING"}', "c_mktsegment = 'BUILDING'"),
+    "integer_domain": Count("lineitem", "l_returnflag", "l_extendedprice", '{"type":"integer"}', "l_extendedprice = floor(l_extendedprice)"),
+    "numeric_bounds": Count("lineitem", "l_returnflag", "l_discount", '{"minimum":0.02,"maximum":0.08}', "l_discount >= 0.02::DOUBLE AND l_discount <= 0.08::DOUBLE"),
+    "exclusive_bounds": Count("orders", "o_orderstatus", "o_totalprice", '{"type":"number","exclusiveMinimum":50000,"exclusiveMaximum":300000}', "o_totalprice > 50000 AND o_totalprice < 300000"),
+    "multiple_of": Count("lineitem", "l_linestatus", "l_quantity", '{"multipleOf":2.5}', "CAST(l_quantity AS DECIMAL(18, 4)) % 2.5 = 0"),
+    "string_length": Count("part", "p_brand", "p_name", '{"type":"string","minLength":8,"maxLength":14}', "length(p_name) BETWEEN 8 AND 14"),
+    "string_pattern": Count("part", "p_brand", "p_type", '{"type":"string","pattern":"^[A-M]\\\\w* ?.*[A-Z]$"}', "regexp_matches(p_type, '^[A-M][A-Za-z0-9_]* ?.*[A-Z]$')"),
+    "enum_literal": Count("orders", "o_orderstatus", "o_orderpriority", '{"enum":["1-URGENT","2-HIGH",null,7]}', "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
+    "const_tag": Count("customer", "c_nationkey", "c_mktsegment", '{"const":"BUILDING"}', "c_mktsegment = 'BUILDING'"),
     "nullable_field": Count("part", "p_brand", obj(a="if(p_size > 25, NULL, p_name)", b="p_size"), '{"type":"object","properties":{"a":{"type":["string","null"],"maxLength":11},"b":{"type":"integer"}},"required":["a"]}', "p_size > 25 OR length(p_name) <= 11"),
     "required_fields": Count("part", "p_brand", PART, '{"type":"object","required":["brand","size"]}', "p_size > 25"),
     "additional_false": Count("part", "p_brand", PART, '{"type":"object","properties":{"name":{},"size":{},"brand":{}},"additionalProperties":false}', "NOT p_size % 3 = 0"),
@@ -85,9 +85,9 @@ COUNTS = {
     "presence_dispatch": Count("orders", "o_orderstatus", ORDER, '{"type":"object","dependentSchemas":{"urgent":{"required":["clerk"]}}}', "o_orderpriority <> '1-URGENT' OR o_orderkey % 2 = 0"),
     "kind_dispatch": Count("part", "p_brand", "if(p_size < 10, CAST(p_name AS VARIANT), CAST(p_size AS VARIANT))", '{"oneOf":[{"type":"string","minLength":10},{"type":"number","maximum":30}]}', "CASE WHEN p_size < 10 THEN length(p_name) >= 10 ELSE p_size <= 30 END"),
     "ref_definition": Count("customer", "c_mktsegment", obj(id="c_custkey", balance="c_acctbal"), '{"$defs":{"money":{"type":"number","minimum":0}},"type":"object","properties":{"balance":{"$ref":"#/$defs/money"},"id":{"$ref":"#/$defs/money"}}}', "c_acctbal >= 0"),
-    "array_items": Count("embeddings", "label", "to_variant_object(embedding)", '{"type":"array","items":{"type":"number","minimum":-0.35,"maximum":0.35},"minItems":64,"maxItems":64}', "len(embedding) = 64 AND list_min(embedding) >= -0.35::FLOAT AND list_max(embedding) <= 0.35::FLOAT"),
+    "array_items": Count("embeddings", "label", "embedding", '{"type":"array","items":{"type":"number","minimum":-0.35,"maximum":0.35},"minItems":64,"maxItems":64}', "len(embedding) = 64 AND list_min(embedding) >= -0.35::FLOAT AND list_max(embedding) <= 0.35::FLOAT"),
     "tuple_prefix": Count("nation", "n_regionkey", "to_variant_object(array(CAST(n_nationkey AS VARIANT), CAST(n_name AS VARIANT)))", '{"type":"array","prefixItems":[{"minimum":5},{"type":"string","maxLength":7}],"items":false}', "n_nationkey >= 5 AND length(n_name) <= 7"),
-    "contains_count": Count("embeddings", "label", "to_variant_object(embedding)", '{"contains":{"exclusiveMinimum":0.25},"minContains":2,"maxContains":5}', "len(list_filter(embedding, lambda x: x > 0.25::FLOAT)) BETWEEN 2 AND 5"),
+    "contains_count": Count("embeddings", "label", "embedding", '{"contains":{"exclusiveMinimum":0.25},"minContains":2,"maxContains":5}', "len(list_filter(embedding, lambda x: x > 0.25::FLOAT)) BETWEEN 2 AND 5"),
 }
 
 
@@ -98,14 +98,13 @@ def _orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     compiled = api.compile_schema('{"type":"array","uniqueItems":true,"minItems":2}')
-    df = _orders_lines(spark, sf_dir).withColumn("v", F.expr("to_variant_object(flags)")).withColumn("w", F.expr("to_variant_object(suppliers)"))
-    return df.agg(F.count_if(api.accepts(compiled, "v")).alias("n_flags"), F.count_if(api.accepts(compiled, "w")).alias("n_suppliers"))
+    df = api.check(api.check(_orders_lines(spark, sf_dir), compiled, "flags", "f"), compiled, "suppliers", "s")
+    return df.agg(F.count_if("f").alias("n_flags"), F.count_if("s").alias("n_suppliers"))
 
 
 def array_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     compiled = api.compile_schema('{"type":"array","minItems":3,"maxItems":5,"items":{"enum":["A","N"]}}')
-    df = _orders_lines(spark, sf_dir).withColumn("v", F.expr("to_variant_object(flags)"))
-    return df.select(F.col("l_orderkey"), api.accepts(compiled, "v").alias("ok"))
+    return api.check(_orders_lines(spark, sf_dir), compiled, "flags", "ok").select("l_orderkey", "ok")
 
 
 def enum_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,13 +131,12 @@ TAGGED = '{"oneOf":[{"type":"object","required":["t"],"properties":{"t":{"const"
 
 def route_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "events").withColumn("v", F.expr(obj(t="event_type")))
-    return df.withColumn("branch", api.route(api.compile_schema(TAGGED), "v")).groupBy("branch").agg(F.count("*").alias("n"))
+    return api.routed(df, api.compile_schema(TAGGED), "v").groupBy("branch").agg(F.count("*").alias("n"))
 
 
 def route_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     compiled = api.compile_schema('{"anyOf":[{"minimum":10},{"maximum":30}],"type":"number"}')
-    df = read(spark, sf_dir, "lineitem").withColumn("v", F.expr("CAST(l_quantity AS VARIANT)"))
-    return df.withColumn("branch", api.route(compiled, "v")).groupBy("branch").agg(F.count("*").alias("n"))
+    return api.routed(read(spark, sf_dir, "lineitem"), compiled, "l_quantity").groupBy("branch").agg(F.count("*").alias("n"))
 
 
 def evaluate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +167,7 @@ def recursive_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = "aggregate(reverse(t), CAST('null' AS STRING), (acc, x) -> concat('{\"role\":\"', x.role, '\",\"next\":', acc, '}'))"
     compiled = api.compile_schema('{"$defs":{"N":{"type":["object","null"],"required":["role"],"properties":{"role":{"enum":["user","assistant"]},"next":{"$ref":"#/$defs/N"}}}},"$ref":"#/$defs/N"}')
     df = turns.withColumn("text", F.expr(chain)).withColumn("v", api.from_json("text"))
-    return df.select("conv_id", F.size("t").alias("turns"), api.accepts(compiled, "v", "text").alias("ok"))
+    return api.check(df, compiled, "v", "ok", "text").select("conv_id", F.size("t").alias("turns"), "ok")
 
 
 CORPUS = {

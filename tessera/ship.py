@@ -12,8 +12,11 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once for each application."""
+def ship(spark: SparkSession | None = None) -> None:
+    """Send the package's sources to the executors, once for each application; by default that of the active session."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or not hasattr(spark, "_jsc"):
+        return
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

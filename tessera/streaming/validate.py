@@ -12,7 +12,7 @@ from ..plans.model import Compiled
 
 def validated(stream: DataFrame, compiled: Compiled, text: str) -> DataFrame:
     """The stream with `accepted`, from a column of JSON text."""
-    return stream.withColumn("_v", api.from_json(text)).withColumn("accepted", api.accepts(compiled, "_v", text)).drop("_v")
+    return api.check(stream.withColumn("_v", api.from_json(text)), compiled, "_v", "accepted", text).drop("_v")
 
 
 def valid_rate(stream: DataFrame, compiled: Compiled, text: str, time: str, window: str, late: str = "1 hour") -> DataFrame:
