@@ -181,7 +181,7 @@ def evaluate(compiled: Compiled, text: str) -> Column:
                 except InvalidValue:
                     rows.append(("invalid_value", None, [], []))
                     continue
-                rows.append(("evaluated", v.accepted, [vars(r) for r in v.reasons], v.approximated))
+                rows.append(("evaluated", v.accepted, [{"path": r.path, "constraint": r.constraint, "detail": r.detail} for r in v.reasons], v.approximated))
             yield pd.DataFrame(rows, columns=["status", "accepted", "reasons", "approximated"])
 
     return run(F.col(f"`{text}`"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import wraps
 from typing import Any
 
 from . import model as m
@@ -29,6 +31,28 @@ def table_loader(documents: dict[str, str | bytes]) -> Loader:
     return load
 
 
+#: Frames for schemas within schemas; deeper ones are refused.
+FRAMES = 60_000
+
+
+def deep(compile_):
+    """compile_() with room for schemas nested some hundreds deep; deeper ones are bad schemas."""
+
+    @wraps(compile_)
+    def run(*given, **named):
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, FRAMES))
+        try:
+            return compile_(*given, **named)
+        except RecursionError as e:
+            raise BadSchema("the schema is nested too deeply") from e
+        finally:
+            sys.setrecursionlimit(before)
+
+    return run
+
+
+@deep
 def compile_schema(text: str | bytes | dict | bool, options: Options = Options()) -> m.Compiled:
     """The analysis of a schema: JSON or YAML text, or a parsed one. Only input that cannot be read is an error."""
     source = None
@@ -42,6 +66,7 @@ def compile_schema(text: str | bytes | dict | bool, options: Options = Options()
     return _placed(out, source)
 
 
+@deep
 def compile_document(document: dict | str | bytes, options: Options = Options()) -> dict[str, m.Compiled]:
     """The analysis of every component (components/schemas of an OpenAPI document, $defs, or a plain map), in order of pointers."""
     source = None

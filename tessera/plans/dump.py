@@ -110,32 +110,45 @@ def reference_dot(library: Library) -> str:
     return "\n".join([*lines, "}"])
 
 
-def route_dot(c: m.Compiled) -> str:
-    """The routes of a plan and of all it refers to; each definition is drawn once, one that is missing as a stub."""
-    lines, drawn, work = ["digraph routes {"], {}, []
-
-    def visit(p: m.Plan) -> str:
-        if isinstance(p.shape, m.Named):
-            return named(p.shape.name)
-        name = f"n{len(drawn)}"
-        drawn[name] = p
-        lines.append(f"  {name} [label={_q(shape_text(p.shape) + ' / ' + type(p.route).__name__)}];")
-        for edge, inner in m.route_plans(p.route):
-            lines.append(f"  {name} -> {visit(inner)} [label={_q(edge)}];")
-        return name
-
-    seen: dict[str, str] = {}
-
-    def named(key: str) -> str:
-        if key not in seen:
-            seen[key] = f"d{len(seen)}"
-            work.append(key)
-        return seen[key]
-
-    visit(c.plan)
+def route_edges(c: m.Compiled) -> list[tuple[str, str, str]]:
+    """(from, to, label) of the plans inside a plan and inside all that it refers to.
+
+    A plan is named by its place (`root`, then the edges that lead there), a definition by `ref` and its key;
+    plans that allow anything are left out. A definition is entered once, one that is missing not at all.
+    """
+    out: list[tuple[str, str, str]] = []
+    work, known = [("root", c.plan)], set()
     while work:
-        key = work.pop()
-        if key in c.definitions and not isinstance(c.definitions[key].shape, m.Named):
-            lines.append(f"  {seen[key]} -> {visit(c.definitions[key])} [style=dotted];")
-        lines.append(f"  {seen[key]} [shape={'box' if key in c.definitions else 'octagon'}, label={_q(key)}];")
+        start, plan = work.pop()
+        waiting = [(start, plan)]
+        while waiting:
+            name, p = waiting.pop()
+            for key in dict.fromkeys(x.predicate.name for x in p.tests if isinstance(x.predicate, m.Reference)):
+                out.append((name, f"ref {key}", "refers to"))
+                if key not in known:
+                    known.add(key)
+                    work += [(f"ref {key}", c.definitions[key])] if key in c.definitions else []
+            inside = [(f"{name}/{edge}", edge, inner) for edge, inner in m.children(p) if inner != m.ANYTHING]
+            out += [(name, below, edge) for below, edge, _ in inside]
+            waiting += reversed([(below, inner) for below, _, inner in inside])
+    return out
+
+
+def route_dot(c: m.Compiled) -> str:
+    """Those edges as a graph: routes bold, references dotted, definitions as boxes, one that is missing as an octagon."""
+    edges = route_edges(c)
+    names = dict.fromkeys(["root", *(n for a, b, _ in edges for n in (a, b))])
+    plans = {"root": c.plan} | {f"ref {k}": p for k, p in c.definitions.items()}
+    for a, b, label in edges:
+        if label != "refers to":
+            plans[b] = next(inner for edge, inner in m.children(plans[a]) if edge == label)
+    routes = {(a, edge) for a, p in plans.items() for edge, _ in m.route_plans(p.route)}
+    ids = {n: f"n{i}" for i, n in enumerate(names)}
+    lines = ["digraph routes {"]
+    for n, i in ids.items():
+        shape = "octagon" if n not in plans else "box" if n[4:] in c.definitions else "ellipse"
+        text = shape_text(plans[n].shape) if n in plans and n[4:] not in c.definitions else n.removeprefix("ref ")
+        route = f" / {type(plans[n].route).__name__}" if n in plans and not isinstance(plans[n].route, m.Straight) else ""
+        lines.append(f"  {i} [shape={shape}, label={_q(text + route)}];")
+    lines += [f"  {ids[a]} -> {ids[b]} [label={_q(label)}{', style=dotted' if label == 'refers to' else ', style=bold' if (a, label) in routes else ''}];" for a, b, label in edges]
     return "\n".join([*lines, "}"])

@@ -5,16 +5,20 @@ A value is accepted if all checks and the route accept it; the storage shape nev
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
-from enum import IntEnum
+from enum import Enum, IntEnum
+from typing import TypeVar
 
 from .source import Diagnostic
 from .terms import Equals, Meta
 from .values import EVERY_KIND
 
 
+A = TypeVar("A")
+
+
 class Capability(IntEnum):
     """What running the plan takes, from least to most."""
 
@@ -343,11 +347,48 @@ def children(plan: Plan) -> Iterator[tuple[str, Plan]]:
     yield from route_plans(plan.route)
 
 
-def walk(plan: Plan, at: str = "") -> Iterator[tuple[str, Plan]]:
+class Visit(Enum):
+    """What a fold does after a plan: go inside, pass over what is inside, or end."""
+
+    DESCEND = "descend"
+    SKIP = "skip"
+    STOP = "stop"
+
+
+def fold(plan: Plan, start: A, step: Callable[[A, str, Plan], tuple[A, Visit]]) -> A:
+    """step's result carried through the plan and all plans inside, each before those inside it, in order.
+
+    step gets what was carried, the edges that lead to the plan, and the plan. Definitions are not entered:
+    they are plans of their own.
+    """
+    carried, waiting = start, [("", plan)]
+    while waiting:
+        at, p = waiting.pop()
+        carried, then = step(carried, at, p)
+        if then is Visit.STOP:
+            break
+        if then is Visit.DESCEND:
+            waiting += reversed([(f"{at}/{edge}", inner) for edge, inner in children(p)])
+    return carried
+
+
+def walk(plan: Plan) -> list[tuple[str, Plan]]:
     """The plan and all plans inside, with the edges that lead there."""
-    yield at, plan
-    for edge, inner in children(plan):
-        yield from walk(inner, f"{at}/{edge}")
+
+    def add(out: list, at: str, p: Plan) -> tuple[list, Visit]:
+        out.append((at, p))
+        return out, Visit.DESCEND
+
+    return fold(plan, [], add)
+
+
+def find(plan: Plan, good: Callable[[Plan], bool]) -> str | None:
+    """The edges to the first plan that is good, or None."""
+
+    def look(_: str | None, at: str, p: Plan) -> tuple[str | None, Visit]:
+        return (at, Visit.STOP) if good(p) else (None, Visit.DESCEND)
+
+    return fold(plan, None, look)
 
 
 def references(plan: Plan) -> set[str]:

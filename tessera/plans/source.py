@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
-from urllib.parse import unquote, urldefrag, urljoin
+from urllib.parse import unquote, urldefrag, urljoin, uses_relative
 
 from . import terms as t
 from .values import EVERY_KIND, InvalidValue, decode, kind, plain
@@ -84,6 +84,15 @@ def pointer_step(name: str) -> str:
     return "/" + name.replace("~", "~0").replace("/", "~1")
 
 
+def joined(base: str, ref: str) -> str:
+    """The address of a reference, for any scheme with paths; urllib only joins those that it knows."""
+    scheme, colon, rest = base.partition("://")
+    if not colon or scheme.lower() in uses_relative:
+        return urljoin(base, ref)
+    out = urljoin(f"http://{rest}", ref)
+    return out if not out.startswith("http://") or ref.startswith("http://") else f"{scheme}://{out.removeprefix('http://')}"
+
+
 @dataclass
 class Node:
     """A schema object or boolean at a place in a document."""
@@ -145,7 +154,7 @@ class Library:
         if key in self.nodes:
             return self.nodes[key]
         if isinstance(raw, dict) and isinstance(raw.get("$id"), str):
-            base = urljoin(base, urldefrag(raw["$id"])[0])
+            base = joined(base, urldefrag(raw["$id"])[0])
             frames = [*frames, (base, pointer)]
         node = self.nodes[key] = Node(uri, base, pointer, raw)
         for frame, start in frames:
@@ -171,7 +180,7 @@ class Library:
                     self._follow(node, ref)
 
     def _follow(self, node: Node, ref: str) -> None:
-        address = urljoin(node.base, ref) if node.base else ref
+        address = joined(node.base, ref) if node.base else ref
         document, fragment = urldefrag(address)
         if not ref.startswith("#") or node.base:
             document = document or node.base

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from decimal import Decimal
 from fractions import Fraction
 from typing import Any
@@ -50,18 +51,39 @@ def number(value: Any) -> Decimal:
 
 
 def canonical(value: Any) -> tuple:
-    """Equal for equal JSON values and hashable: kinds never mix, numbers by value, names in any order."""
-    k = kind(value)
-    if k == "number":
-        sign, digits, exponent = number(value).as_tuple()
-        text = "".join(map(str, digits)).lstrip("0")
-        short = text.rstrip("0")
-        return (k, sign, short, exponent + len(text) - len(short)) if short else (k, 0, "", 0)
-    if k == "array":
-        return (k, *map(canonical, value))
-    if k == "object":
-        return (k, *sorted((n, canonical(x)) for n, x in value.items()))
-    return (k, value)
+    """Equal for equal JSON values and hashable: kinds never mix, numbers by value, names in any order.
+
+    One flat tuple, each part led by its kind and, if it has parts itself, their number.
+    """
+    out: list = []
+    waiting = [value]
+    while waiting:
+        v = waiting.pop()
+        if isinstance(v, _Name):
+            out.append(v.text)
+            continue
+        k = kind(v)
+        out.append(k)
+        if k == "number":
+            sign, digits, exponent = number(v).as_tuple()
+            text = "".join(map(str, digits)).lstrip("0")
+            short = text.rstrip("0")
+            out += (sign, short, exponent + len(text) - len(short)) if short else (0, "", 0)
+        elif k == "array":
+            out.append(len(v))
+            waiting += reversed(v)
+        elif k == "object":
+            out.append(len(v))
+            for n in sorted(v, reverse=True):
+                waiting += (v[n], _Name(n))
+        else:
+            out.append(v)
+    return tuple(out)
+
+
+@dataclass(frozen=True)
+class _Name:
+    text: str
 
 
 def is_integer(value: Any) -> bool:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import api
+from .plans import dump
+from .shared import shared_dir
 from .streaming import validate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,10 +172,11 @@ def recursive_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORPUS = {
-    "any": "{}", "never": "false", "closed": '{"type":"object","additionalProperties":false}', "range": '{"type":"number","minimum":0,"maximum":100}', "tuple": '{"type":"array","prefixItems":[{"type":"string"}],"items":{"type":"number"}}',
-    "enum": '{"enum":["red","green"]}', "kinds": '{"oneOf":[{"type":"string"},{"type":"number"}]}', "tagged": TAGGED, "overlap": '{"oneOf":[{"type":"string","pattern":"^a"},{"type":"string","minLength":5}]}',
-    "not": '{"type":"string","not":{"const":"x"}}', "unevaluated": '{"type":"object","unevaluatedProperties":false}', "dynamic": '{"$dynamicRef":"#meta"}', "dangling": '{"$ref":"#/$defs/none"}',
-    "cycle": '{"$defs":{"A":{"allOf":[{"$ref":"#/$defs/B"}]},"B":{"allOf":[{"$ref":"#/$defs/A"}]}},"$ref":"#/$defs/A"}', "list": '{"$defs":{"N":{"type":"object","properties":{"next":{"$ref":"#/$defs/N"}}}},"$ref":"#/$defs/N"}',
+    "any": "{}", "never": "false", "switch": '{"type":"object","properties":{"on":{"type":"boolean"}},"additionalProperties":false}', "hours": '{"type":"number","minimum":0,"exclusiveMaximum":24}',
+    "row": '{"type":"array","prefixItems":[{"type":"integer"}],"items":{"type":"boolean"}}', "level": '{"enum":["low","mid","high"]}', "either": '{"oneOf":[{"type":"boolean"},{"type":"array"}]}', "tagged": TAGGED,
+    "fizz": '{"oneOf":[{"type":"number","multipleOf":3},{"type":"number","multipleOf":5}]}', "guest": '{"type":"string","not":{"enum":["admin","root"]}}', "rest": '{"type":"object","properties":{"a":{}},"unevaluatedProperties":{"type":"number"}}',
+    "dynamic": '{"$dynamicRef":"#node"}', "dangling": '{"$ref":"#/$defs/absent"}', "cycle": '{"$defs":{"p":{"anyOf":[{"$ref":"#/$defs/q"}]},"q":{"allOf":[{"$ref":"#/$defs/p"}]}},"$ref":"#/$defs/q"}',
+    "list": '{"$defs":{"tree":{"type":"object","properties":{"sub":{"type":"array","items":{"$ref":"#/$defs/tree"}}}}},"$ref":"#/$defs/tree"}',
 }
 
 
@@ -191,22 +193,130 @@ def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.reference_edges(spark, CORPUS["list"])
 
 
+SHOP = {
+    "components": {
+        "schemas": {
+            "Order": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "lines": {"type": "array", "items": {"$ref": "#/components/schemas/Line"}}}},
+            "Line": {"type": "object", "properties": {"qty": {"type": "number", "minimum": 1}, "of": {"$ref": "#/components/schemas/Order"}}},
+            "Status": {"enum": ["open", "done"]},
+            "Bad": {"minLength": -1},
+        }
+    }
+}
+
+
+def document_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of a document, each with what it refers to."""
+    return api.catalog(spark, api.compile_document(SHOP)).select("schema_id", "capability", "exactness", "definitions", "diagnostics")
+
+
+def one_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A component by itself: its siblings are not there."""
+    found = {n: api.compile_component(SHOP, n) for n in ("Line", "Status")}
+    return api.catalog(spark, found).select("schema_id", "capability", "exactness")
+
+
+def loaded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by a schema in two documents, found by a loader."""
+    load = api.table_loader({"mem://x/b.json": '{"$defs":{"share":{"$anchor":"share","type":"number","minimum":0.01,"maximum":0.07}}}'})
+    compiled = api.compile_schema('{"type":"object","properties":{"discount":{"$ref":"b.json#share"},"tax":{"$ref":"b.json#/$defs/share"}}}', api.Options("mem://x/a.json", loader=load))
+    df = read(spark, sf_dir, "lineitem").select("l_returnflag", F.expr(obj(discount="l_discount", tax="l_tax")).alias("v"))
+    return api.check(df, compiled, "v", "ok").groupBy("l_returnflag").agg(F.count_if("ok").alias("n_valid"))
+
+
+def finding_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in the text a schema's errors and warnings are."""
+    text = '{\n  "properties": {\n    "a": {"minLength": -1},\n    "b": {"nullable": true},\n    "c": {"$ref": "#/none"}\n  }\n}'
+    return api.diagnostics(spark, {"s": api.compile_schema(text)}).select("severity", "pointer", "line").distinct()
+
+
+def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a consumer of each plan must take care of."""
+    schemas = {"unique": '{"type":"array","uniqueItems":true}', "space": '{"type":"object","properties":{"p":{"type":"string","pattern":"^\\\\s"}}}', "free": '{"type":"array","unevaluatedItems":false}', "none": '{"type":"string"}'}
+    return api.needs(spark, {n: api.compile_schema(s) for n, s in schemas.items()}).select("schema_id", "slot", "pointer").distinct()
+
+
+def plan_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of the plans inside a plan: fields, items, tests, routes and references."""
+    compiled = api.compile_schema('{"type":"object","properties":{"u":{"oneOf":[{"type":"string"},{"$ref":"#/$defs/L"}]}},"additionalProperties":{"$ref":"#/$defs/L"},"$defs":{"L":{"type":"array","prefixItems":[{"type":"number"}],"contains":{"type":"null"}}}}')
+    return spark.createDataFrame(dump.route_edges(compiled), "src string, dst string, label string")
+
+
+def storage_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = {"hours": CORPUS["hours"], "row": CORPUS["row"], "switch": CORPUS["switch"], "list": CORPUS["list"], "int": '{"type":"integer","minimum":0,"maximum":9}', "day": '{"type":"string","format":"date"}', "map": '{"type":"object","additionalProperties":{"type":"number"}}'}
+    rows = [(n, api.storage_schema(api.compile_schema(s)).simpleString()) for n, s in schemas.items()]
+    return spark.createDataFrame(rows, "schema_id string, type string")
+
+
+def decoded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointers with escapes and references through $id and $anchor lead to one plan each."""
+    schema = '{"$id":"mem://x/r.json","$defs":{"a/b":{"type":"string"},"c~d":{"$anchor":"here","type":"boolean"},"e":{"$id":"sub/e.json","type":"null"}},"properties":{"x":{"$ref":"#/$defs/a~1b"},"y":{"$ref":"#here"},"z":{"$ref":"sub/e.json"}},"additionalProperties":false}'
+    rows = [("x", '{"x":"s"}'), ("x", '{"x":1}'), ("y", '{"y":true}'), ("y", '{"y":0}'), ("z", '{"z":null}'), ("z", '{"z":"n"}'), ("w", '{"w":1}')]
+    df = spark.createDataFrame(rows, "field string, text string").withColumn("v", api.from_json("text"))
+    return api.check(df, api.compile_schema(schema), "v", "ok").select("field", "text", "ok")
+
+
+EXTREMES = ("1e30", "-1e30", "1e-9", "0", "5", "12345678901234567890123", "9007199254740993")
+
+
+def route_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches of numbers far from 1, without the exact evaluator."""
+    compiled = api.compile_schema('{"anyOf":[{"minimum":9007199254740993},{"maximum":1e-6}],"type":"number"}')
+    df = spark.createDataFrame([(x,) for x in EXTREMES], "text string").withColumn("v", api.from_json("text"))
+    return api.routed(df, compiled, "v").select("text", "branch")
+
+
+def function_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    api.register(spark, "accepts_extremes", api.compile_schema('{"type":"integer","exclusiveMinimum":0}'))
+    df = spark.createDataFrame([(x,) for x in EXTREMES], "text string").withColumn("v", api.from_json("text"))
+    return df.select("text", F.expr("accepts_extremes(v)").alias("ok"))
+
+
+def recursive_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 500 objects, their ends checked by the exact evaluator."""
+    chain = "concat(repeat('{\"next\":', 500), to_json(named_struct('rank', n_nationkey)), repeat('}', 500))"
+    compiled = api.compile_schema('{"$defs":{"N":{"type":"object","properties":{"rank":{"maximum":12},"next":{"$ref":"#/$defs/N"}}}},"$ref":"#/$defs/N"}')
+    df = read(spark, sf_dir, "nation").withColumn("text", F.expr(chain)).withColumn("v", api.from_json("text"))
+    return api.check(df, compiled, "v", "ok", "text").select("n_nationkey", "ok")
+
+
+def format_never_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A format is reported as not enforced and rejects nothing."""
+    compiled = api.compile_schema('{"type":"string","format":"email"}')
+    df = read(spark, sf_dir, "nation").withColumn("t", F.expr("if(n_regionkey = 0, to_json(array(n_name)), concat('\"', n_name, '\"'))")).withColumn("r", api.evaluate(compiled, "t"))
+    return df.groupBy("n_regionkey").agg(F.count_if("r.accepted").alias("n_valid"), F.count_if(F.size("r.approximated") > 0).alias("n_approximated"))
+
+
+def typed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of the typed storage in date functions."""
+    compiled = api.compile_schema('{"type":"object","properties":{"day":{"type":"string","format":"date"},"total":{"type":"number"}},"required":["day"]}')
+    df = read(spark, sf_dir, "orders").withColumn("v", F.expr("try_parse_json(to_json(named_struct('day', date_format(o_orderdate, 'yyyy-MM-dd'), 'total', o_totalprice)))")).withColumn("p", api.project(compiled, "v"))
+    return df.groupBy(F.year("p.day").alias("y"), F.month("p.day").alias("m")).agg(F.count("*").alias("n"), F.max("p.total").alias("top"))
+
+
+def top_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five dearest rejected orders of each status: window, sort and limit by the host over a validated column."""
+    compiled = api.compile_schema('{"type":"object","properties":{"total":{"maximum":300000}}}')
+    df = read(spark, sf_dir, "orders").withColumn("v", F.expr(obj(total="o_totalprice")))
+    place = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return api.quarantine(df, compiled, "v").withColumn("place", place).where("place <= 5").select("o_orderstatus", "place", "o_orderkey")
+
+
 def stream_valid_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship test over a stream of events, by day; all that is there, then it ends."""
     compiled = api.compile_schema(COUNTS["events_valid"].schema)
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     rates = validate.valid_rate(stream, compiled, "props", "ts", "1 day")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    run = uuid.uuid4().hex
-    return validate.run_available(spark, rates, f"rates_{run}", f"{base.rstrip('/')}/tessera-stream/{run}", "complete")
+    return validate.run_available(spark, rates, f"{shared_dir(spark)}/tessera-stream/{uuid.uuid4().hex}")
 
 
 QUERIES: dict[str, Query] = {n: c.query for n, c in COUNTS.items()} | {
     f.__name__: f
     for f in (
         unique_items, array_bounds, enum_broadcast, quarantine, project_typed, route_property, route_count, evaluate_reasons, invalid_values, sql_function,
-        recursive_ref, catalog_capability, catalog_diagnostics, reference_graph, stream_valid_rate,
+        recursive_ref, catalog_capability, catalog_diagnostics, reference_graph, document_components, one_component, loaded_documents, finding_places, requirements, plan_graph,
+        storage_types, decoded_references, route_extremes, function_extremes, recursive_deep, format_never_rejects, typed_dates, top_rejected, stream_valid_rate,
     )
 }
 
@@ -223,5 +333,36 @@ SQL: dict[str, str] = {n: c.sql() for n, c in COUNTS.items()} | {
     "invalid_values": "SELECT CASE event_id % 4 WHEN 1 THEN 'invalid_value' WHEN 2 THEN 'no_instance' ELSE 'evaluated' END AS status, CASE WHEN event_id % 4 IN (0, 3) THEN true END AS accepted, count(*) AS n FROM events GROUP BY 1, 2",
     "sql_function": "SELECT l_linestatus, count(*) FILTER (WHERE l_discount >= 0.05::DOUBLE) AS n_valid FROM lineitem GROUP BY 1",
     "recursive_ref": "SELECT conv_id, CAST(count(*) AS INT) AS turns, bool_and(role IN ('user', 'assistant')) AS ok FROM conversations GROUP BY 1",
+    "catalog_capability": """SELECT * FROM (VALUES
+  ('any', 'DIRECT_TYPE', 'EXACT_REPRESENTATION', 'Straight'), ('never', 'DIRECT_TYPE', 'EXACT_REPRESENTATION', 'Straight'), ('switch', 'DIRECT_TYPE', 'EXACT_REPRESENTATION', 'Straight'),
+  ('hours', 'TYPE_WITH_VALIDATION', 'EXACT_WITH_VALIDATION', 'Straight'), ('row', 'DIRECT_TYPE', 'EXACT_REPRESENTATION', 'Straight'), ('level', 'STATIC_DISPATCH', 'EXACT_WITH_VALIDATION', 'ByLiteral'),
+  ('either', 'STATIC_DISPATCH', 'EXACT_WITH_VALIDATION', 'ByKind'), ('tagged', 'STATIC_DISPATCH', 'EXACT_WITH_VALIDATION', 'ByProperty'), ('fizz', 'PREDICATE_DISPATCH', 'EXACT_WITH_VALIDATION', 'ByCount'),
+  ('guest', 'PREDICATE_DISPATCH', 'EXACT_WITH_VALIDATION', 'Straight'), ('rest', 'EVALUATION_STATE', 'UNSUPPORTED', 'Straight'), ('dynamic', 'DYNAMIC_RESOLUTION', 'UNSUPPORTED', 'Straight'),
+  ('dangling', 'UNSUPPORTED', 'UNSUPPORTED', 'Straight'), ('cycle', 'UNSUPPORTED', 'UNSUPPORTED', 'Straight'), ('list', 'DIRECT_TYPE', 'EXACT_REPRESENTATION', 'Straight')
+) t(schema_id, capability, exactness, route)""",
+    "catalog_diagnostics": """SELECT schema_id, severity, CAST(n AS BIGINT) AS n FROM (VALUES
+  ('fizz', 'warning', 1), ('guest', 'warning', 1), ('rest', 'error', 1), ('dynamic', 'error', 1), ('dangling', 'error', 2), ('cycle', 'error', 3)) t(schema_id, severity, n)""",
+    "reference_graph": """SELECT * FROM (VALUES
+  ('#', '#/$defs/tree', false, 'none'), ('#', '#/$defs/tree', false, 'none'), ('#/$defs/tree', '#/$defs/tree/properties/sub', true, 'guarded'),
+  ('#/$defs/tree/properties/sub', '#/$defs/tree/properties/sub/items', true, 'guarded'), ('#/$defs/tree/properties/sub/items', '#/$defs/tree', false, 'guarded')) t(src, dst, descent, recursion)""",
+    "document_components": """SELECT schema_id, capability, exactness, CAST(definitions AS INT) AS definitions, CAST(diagnostics AS INT) AS diagnostics FROM (VALUES
+  ('Bad', 'DIRECT_TYPE', 'DECLARED_INCOMPLETE', 1, 1), ('Line', 'TYPE_WITH_VALIDATION', 'EXACT_WITH_VALIDATION', 2, 1), ('Order', 'TYPE_WITH_VALIDATION', 'EXACT_WITH_VALIDATION', 2, 1),
+  ('Status', 'STATIC_DISPATCH', 'EXACT_WITH_VALIDATION', 1, 1)) t(schema_id, capability, exactness, definitions, diagnostics)""",
+    "one_component": "SELECT * FROM (VALUES ('Line', 'UNSUPPORTED', 'UNSUPPORTED'), ('Status', 'STATIC_DISPATCH', 'EXACT_WITH_VALIDATION')) t(schema_id, capability, exactness)",
+    "loaded_documents": "SELECT l_returnflag, count(*) FILTER (WHERE l_discount BETWEEN 0.01::DOUBLE AND 0.07::DOUBLE AND l_tax BETWEEN 0.01::DOUBLE AND 0.07::DOUBLE) AS n_valid FROM lineitem GROUP BY 1",
+    "finding_places": "SELECT severity, pointer, CAST(line AS INT) AS line FROM (VALUES ('error', '', 1), ('error', '/properties/a', 3), ('warning', '/properties/b', 4), ('error', '/properties/c', 5)) t(severity, pointer, line)",
+    "requirements": "SELECT * FROM (VALUES ('free', 'evaluation_tracking', ''), ('space', 'regex_dialect', '/properties/p'), ('unique', 'json_equality', '')) t(schema_id, slot, pointer)",
+    "plan_graph": """SELECT * FROM (VALUES
+  ('root', 'root/property u', 'property u'), ('root', 'root/additional', 'additional'), ('root/property u', 'root/property u/kind string', 'kind string'), ('root/property u', 'root/property u/kind array', 'kind array'),
+  ('root/property u/kind array', 'ref #/$defs/L', 'refers to'), ('root/additional', 'ref #/$defs/L', 'refers to'), ('ref #/$defs/L', 'ref #/$defs/L/item 0', 'item 0'), ('ref #/$defs/L', 'ref #/$defs/L/contains', 'contains')) t(src, dst, label)""",
+    "storage_types": """SELECT * FROM (VALUES ('hours', 'double'), ('row', 'struct<_0:decimal(38,0),_rest:array<boolean>>'), ('switch', 'struct<on:boolean>'), ('list', 'variant'), ('int', 'bigint'), ('day', 'date'), ('map', 'map<string,double>')) t(schema_id, type)""",
+    "decoded_references": """SELECT * FROM (VALUES ('x', '{"x":"s"}', true), ('x', '{"x":1}', false), ('y', '{"y":true}', true), ('y', '{"y":0}', false), ('z', '{"z":null}', true), ('z', '{"z":"n"}', false), ('w', '{"w":1}', false)) t(field, text, ok)""",
+    "route_extremes": """SELECT * FROM (VALUES ('1e30', '0'), ('-1e30', '1'), ('1e-9', '1'), ('0', '1'), ('5', NULL), ('12345678901234567890123', '0'), ('9007199254740993', '0')) t(text, branch)""",
+    "function_extremes": """SELECT * FROM (VALUES ('1e30', true), ('-1e30', false), ('1e-9', false), ('0', false), ('5', true), ('12345678901234567890123', true), ('9007199254740993', true)) t(text, ok)""",
+    "recursive_deep": "SELECT n_nationkey, n_nationkey <= 12 AS ok FROM nation",
+    "format_never_rejects": "SELECT n_regionkey, count(*) FILTER (WHERE n_regionkey <> 0) AS n_valid, count(*) FILTER (WHERE n_regionkey <> 0) AS n_approximated FROM nation GROUP BY 1",
+    "typed_dates": "SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1, 2",
+    "top_rejected": """SELECT * FROM (SELECT o_orderstatus, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place, o_orderkey
+  FROM orders WHERE o_totalprice > 300000) WHERE place <= 5""",
     "stream_valid_rate": f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, count(*) FILTER (WHERE {K} BETWEEN 0 AND 50) AS n_valid FROM events GROUP BY 1",
 }

@@ -21,11 +21,21 @@ def valid_rate(stream: DataFrame, compiled: Compiled, text: str, time: str, wind
     return timed.groupBy(F.window("_t", window)).agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_valid")).select(F.col("window.start").alias("start"), "n", "n_valid")
 
 
-def run_available(spark: SparkSession, frame: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """What is there now, as one table in memory."""
-    q: StreamingQuery = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def run_available(spark: SparkSession, frame: DataFrame, path: str) -> DataFrame:
+    """The windows of what is there now, as a table under the path, beside its checkpoint.
+
+    Each batch's last state of a window is written as a part of its own; the latest part of a window counts.
+    A batch that is run again writes over its own part.
+    """
+    keys = [c for c in frame.columns if c not in ("n", "n_valid")]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/parts/batch={number}")
+
+    frame.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    parts = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in frame.schema)}, batch bigint").parquet(f"{path}/parts")
+    latest = F.max_by(F.struct(*(c for c in frame.columns if c not in keys)), "batch")
+    return parts.groupBy(*keys).agg(latest.alias("r")).select(*keys, "r.*")
 
 
 def split(stream: DataFrame, compiled: Compiled, text: str, good: str, bad: str, checkpoint: str) -> StreamingQuery:

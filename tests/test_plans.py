@@ -1,5 +1,6 @@
 """Compiling and the exact evaluator."""
 
+import time
 from decimal import Decimal
 
 import pytest
@@ -77,6 +78,11 @@ def test_references_across_documents():
     assert compile_schema('{"$ref":"http://y/z"}').capability == Capability.UNSUPPORTED
 
 
+def test_addresses_of_any_scheme():
+    assert source.joined("mem://a/b.json", "c.json#x") == "mem://a/c.json#x" and source.joined("mem://b.json", "c.json") == "mem://b.json/c.json"
+    assert source.joined("http://x/a", "/b") == "http://x/b" and source.joined("mem://a/b", "http://y/z") == "http://y/z" and source.joined("mem://a/b", "urn:z") == "urn:z"
+
+
 def test_same_pointer_in_two_documents():
     load = table_loader({"http://x/b.json": '{"$defs":{"n":{"type":"number"}}}'})
     c = compile_schema('{"$defs":{"n":{"type":"string"}},"properties":{"a":{"$ref":"#/$defs/n"},"b":{"$ref":"http://x/b.json#/$defs/n"}}}', Options("http://x/a.json", loader=load))
@@ -237,3 +243,58 @@ def test_random_schemas_agree_with_the_specification(schema, values):
         assert got.accepted or not want, "a valid value was rejected"
         if got.accepted and not want:
             assert c.exactness > Exactness.EXACT_WITH_VALIDATION or got.approximated
+
+
+def test_fold_descends_skips_and_stops():
+    c = compile_schema('{"type":"object","properties":{"a":{"type":"array","items":{"type":"string"}},"b":{"type":"number"}},"additionalProperties":false}')
+    assert [at for at, _ in model.walk(c.plan)] == ["", "/property a", "/property a/items", "/property b", "/additional"]
+
+    def without_arrays(seen, at, p):
+        return [*seen, at], model.Visit.SKIP if isinstance(p.shape, model.Sequence) else model.Visit.DESCEND
+
+    assert model.fold(c.plan, [], without_arrays) == ["", "/property a", "/property b", "/additional"]
+    assert model.find(c.plan, lambda p: isinstance(p.shape, model.Scalar)) == "/property a/items"
+    assert model.find(c.plan, lambda p: isinstance(p.shape, model.Union)) is None
+
+
+def test_one_of_takes_in_what_stands_beside_it():
+    s = t.KindIs(frozenset(("string",)))
+    check = lambda word, n: t.Check(frozenset(("string",)), word, n)
+    any_of = t.Some((check("minLength", 4), t.Check(frozenset(("string",)), "pattern", text="a")))
+    single = t.Single((check("maxLength", 9), t.Check(frozenset(("string",)), "pattern", text="b")))
+    out = simplify(t.Every((s, any_of, single)))
+    assert isinstance(out, t.Single) and len(out.parts) == 2 and all(isinstance(p, t.Some) for p in out.parts)
+    two = t.Single((check("minLength", 1), t.Check(frozenset(("string",)), "pattern", text="c")))
+    assert isinstance(simplify(t.Every((s, single, two))), t.Every)
+
+
+def test_the_graph_of_nested_plans():
+    c = compile_schema('{"type":"object","properties":{"u":{"oneOf":[{"type":"string"},{"$ref":"#/$defs/L"}]}},"patternProperties":{"^x":{"$ref":"#/$defs/L"}},"additionalProperties":{"type":"array","prefixItems":[{"$ref":"#/$defs/L"}],"items":{"$ref":"#/$defs/gone"},"contains":{"type":"null"}},"$defs":{"L":{"type":"array","items":{"type":"number"}}}}')
+    edges = dump.route_edges(c)
+    labels = {label for _, _, label in edges}
+    assert {"property u", "kind string", "kind array", "pattern ^x", "additional", "item 0", "items", "contains", "refers to"} <= labels
+    assert [b for a, b, label in edges if a == "ref #/$defs/L" and label == "items"] == ["ref #/$defs/L/items"]  # once
+    dot = dump.route_dot(c)
+    assert "octagon" in dot and dot.count('shape=box, label="#/$defs/L"') == 1 and dot == dump.route_dot(c)
+
+
+def test_deep_values_and_schemas():
+    c = compile_schema('{"$defs":{"N":{"type":"object","properties":{"v":{"type":"number"},"n":{"$ref":"#/$defs/N"}}}},"$ref":"#/$defs/N"}')
+    for leaf, good in (('{"v":1}', True), ('{"v":"x"}', False)):
+        v = interp.interpret(c, decode('{"n":' * 9000 + leaf + "}" * 9000))
+        assert v.accepted is good and (good or v.reasons[0].path == "/n" * 9000 + "/v")
+    deep = decode("[" * 9000 + "]" * 9000)
+    assert canonical(deep) == canonical(deep) and not interp.interpret(compile_schema('{"uniqueItems":true}'), [deep, deep]).accepted
+    nest = lambda n: '{"properties":{"a":' * n + '{"type":"string"}' + "}}" * n
+    c = compile_schema(nest(400))
+    assert not interp.interpret(c, decode('{"a":' * 400 + "1" + "}" * 400)).accepted
+    with pytest.raises(source.BadSchema, match="deeply"):
+        compile_schema(nest(8000))
+
+
+def test_a_large_bundle_compiles_in_time():
+    """Ours: 200 components, each with references to others, unions and constraints."""
+    part = lambda i: {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer", "minimum": i}, "next": {"$ref": f"#/$defs/P{(i * 7 + 1) % 200}"}, "any": {"oneOf": [{"$ref": f"#/$defs/P{(i + 3) % 200}"}, {"type": "string", "maxLength": i + 1}]}, "tags": {"type": "array", "items": {"enum": [f"t{j}" for j in range(20)]}, "uniqueItems": True}}, "patternProperties": {"^x-": {"type": ["string", "null"]}}}
+    began = time.time()
+    c = compile_schema({"$defs": {f"P{i}": part(i) for i in range(200)}, "oneOf": [{"$ref": f"#/$defs/P{i}"} for i in range(0, 200, 50)]})
+    assert len(c.definitions) >= 200 and time.time() - began < 60
