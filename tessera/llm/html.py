@@ -11,8 +11,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -21,45 +22,127 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import chunked
 
-# Tags that do not end a block, tags without content, tags whose content is not text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Tags that do not end a block, tags without content, tags whose content is not text, tags whose content has no tags.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe object svg math noembed noframes xmp".split())
-#: An open paragraph ends where one of these starts.
+RAW = frozenset("script style template iframe svg noembed noframes".split())
+PLAIN = frozenset("title textarea xmp".split())
+#: Without an end tag their content is all that follows; the others of RAW and PLAIN are then taken as empty.
+TO_THE_END = frozenset("script style".split())
+#: An open paragraph ends where one of these starts; these end an open element of their own kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+ENDS_ITS_KIND = frozenset("li dt dd tr td th option".split())
 
-MARKUP = re.compile(
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*>|[^>]*(?:>|\Z))|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)",
-    re.DOTALL,
-)
+NAME = re.compile(r"[^\s/>]*")
+#: What follows a tag's name up to the > that ends it: quoted values hide it. Nothing here is tried twice.
+REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+")
 ATTRIBUTES = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 MAIN, OTHER = 1, 0
 
 
+@dataclass(eq=False)
+class Node:
+    """An open element: its tag, the tag with the words of its class, id and role, and the element around it."""
+
+    above: Node | None
+    tag: str
+    name: str
+    place: Place | None = None  # what a Decoder knows of it
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Node | None
     text: str
     linked: int  # characters in links
 
 
-@lru_cache(maxsize=50_000)
-def _named(tag: str, attributes: str) -> str:
+def ancestors(node: Node | None) -> tuple[str, ...]:
+    """The names of an element and those around it, the outermost first."""
+    out = []
+    while node is not None:
+        out.append(node.name)
+        node = node.above
+    return tuple(reversed(out))
+
+
+def named(tag: str, attributes: str) -> str:
     """The tag with the words of its class, id and role."""
     if len(attributes) < 5:
         return tag
+    return _named(tag, attributes) if len(attributes) < 1000 else _named.__wrapped__(tag, attributes)
+
+
+@lru_cache(maxsize=20_000)
+def _named(tag: str, attributes: str) -> str:
     found = " ".join(next(filter(None, m.groups()[1:]), "") for m in ATTRIBUTES.finditer(attributes))
     split = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found).lower()
     return " ".join([tag, *dict.fromkeys(WORD.findall(split))])
 
 
+@lru_cache(maxsize=64)
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.IGNORECASE)
+
+
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag or text, attributes) in page order; kinds are text, start, empty (a self-closed start) and end.
+
+    One pass from left to right. A quote that nothing closes does not hide the > after it, nor do the quotes
+    before it in tags that were open there. A tag or comment that nothing ends is dropped with what follows.
+    """
+    at, n, odd = 0, len(page), -1
+    text_from = 0
+    while (lt := page.find("<", at)) >= 0:
+        after = page[lt + 1 : lt + 2]
+        closing = after == "/"
+        first = page[lt + 2 : lt + 3] if closing else after
+        if not (first.isascii() and first.isalpha()) and after not in ("!", "?"):
+            at = lt + 1  # a < in text
+            continue
+        if lt > text_from:
+            yield "text", page[text_from:lt], ""
+        if after in ("!", "?"):
+            end = page.find("-->", lt + 4) if page.startswith("<!--", lt) else page.find(">", lt)
+            if end < 0:
+                return
+            at = text_from = end + (3 if page.startswith("<!--", lt) else 1)
+            continue
+        start = lt + 1 + closing
+        name_end = NAME.match(page, start).end()
+        end = REST.match(page, name_end).end() if lt > odd else page.find(">", name_end)
+        if 0 <= end < n and page[end] != ">":  # an odd quote
+            odd = end
+            end = page.find(">", name_end)
+        if not 0 <= end < n:
+            return
+        empty = page[end - 1] == "/" and end > name_end
+        yield "end" if closing else "empty" if empty else "start", page[start:name_end].lower(), page[name_end:end]
+        at = text_from = end + 1
+        if not closing and not empty and (tag := page[start:name_end].lower()) in RAW | PLAIN:
+            found = _end_tag(tag).search(page, at)
+            close = page.find(">", found.end()) if found else -1
+            if close < 0 and tag not in TO_THE_END:
+                yield "end", tag, ""
+                continue
+            if tag in PLAIN:
+                yield "text", page[at : found.start()], ""
+            yield "end", tag, ""
+            if close < 0:
+                return
+            at = text_from = close + 1
+    if text_from < n:
+        yield "text", page[text_from:], ""
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks in page order, white space collapsed; empty ones are left out."""
+    """The text blocks in page order, white space collapsed; empty ones are left out. Time grows with the page's length."""
     out: list[Block] = []
-    stack: list[str] = []
+    stack: list[Node] = []
+    count: Counter = Counter()  # open elements by tag
     text: list[str] = []
-    linked, links, path = 0, 0, ()
+    linked, links, path = 0, 0, None
 
     def end() -> None:
         nonlocal linked
@@ -70,56 +153,41 @@ def blocks(page: str) -> list[Block]:
             text.clear()
         linked = 0
 
-    def add(piece: str) -> None:
-        nonlocal linked, path
-        if not text:
-            if not piece.strip():
-                return
-            path = tuple(stack)
-        text.append(piece)
-        linked += len(piece) if links else 0
-
-    at = 0
-    while m := MARKUP.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    def close(tag: str) -> bool:
+        """End the innermost open element of this tag and all inside it."""
+        if not count[tag]:
+            return False
+        while True:
+            last = stack.pop()
+            count[last.tag] -= 1
+            if last.tag == tag:
+                return True
+
+    for kind, what, attributes in markup(page):
+        if kind == "text":
+            if not text:
+                if not what.strip():
+                    continue
+                path = stack[-1] if stack else None
+            text.append(what)
+            linked += len(what) if links else 0
             continue
-        tag = tag.lower()
-        if tag == "a":
-            links = 0 if m[1] else 1
-        if tag in INLINE:
+        if what == "a" and kind != "empty":
+            links = int(kind == "start")
+        if what in INLINE:
             continue
         end()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].partition(" ")[0] == tag:
-                    del stack[i:]
-                    links = 0
-                    break
+        if kind == "end":
+            if close(what):
+                links = 0
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].partition(" ")[0] == "p":
-                    del stack[i:]
-                    break
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].partition(" ")[0] == tag:
-            stack.pop()
-        if tag in RAW or tag in ("title", "textarea"):
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            inside = page[at : close.start() if close else len(page)]
-            at = close.end() if close else len(page)
-            if tag not in RAW:
-                stack.append(_named(tag, m[3]))
-                add(inside)
-                end()
-                stack.pop()
-        elif tag not in VOID and not m[3].endswith("/>"):
-            stack.append(_named(tag, m[3]))
-    if at < len(page):
-        add(page[at:])
+        if what in ENDS_P:
+            close("p")
+        elif what in ENDS_ITS_KIND and stack and stack[-1].tag == what:
+            close(what)
+        if what not in VOID and kind == "start":
+            stack.append(Node(stack[-1] if stack else None, what, named(what, attributes)))
+            count[what] += 1
     end()
     return out
 
@@ -129,7 +197,6 @@ def blocks(page: str) -> list[Block]:
 SECTIONS = frozenset("article main nav aside footer header section form head dialog figure".split())
 
 
-@lru_cache(maxsize=50_000)
 def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
     """Ancestor tags and class words, the innermost section and the parent."""
     out, inner = [], "none"
@@ -150,7 +217,7 @@ def text_features(text: str, linked: int) -> list[str]:
     n = text.count(" ") + 1
     size = next(i for i, most in enumerate((1, 3, 6, 12, 30, 1 << 60)) if n <= most)
     share = min(3, 4 * linked // max(1, len(text)))
-    low = text[:200].lower()
+    low = text.lower()
     out = [f"size {size}", f"links {share}"]
     out += ["stops"] if text[-1] in ".!?:;…\"”" else []
     out += ["rights"] if "©" in low or "copyright" in low or "all rights" in low else []
@@ -266,7 +333,7 @@ def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
 
 def train(pages: list[tuple[str, list[int]]], steps: int = 120, decay: float = 1e-4) -> Field:
     """Maximise the labels' conditional likelihood by Adam, all pages in lockstep (padded to the longest)."""
-    rows = [([(*path_features(b.path), *text_features(b.text, b.linked)) for b in blocks(p)], labels) for p, labels in pages]
+    rows = [([(*path_features(ancestors(b.path)), *text_features(b.text, b.linked)) for b in blocks(p)], labels) for p, labels in pages]
     rows = [(f, y) for f, y in rows if f and len(f) == len(y)]
     names = {x: i for i, x in enumerate(sorted({x for f, _ in rows for b in f for x in b}))}
     n, longest = len(rows), max(len(y) for _, y in rows)
@@ -307,21 +374,70 @@ def default_field(pages: int = 300, seed: int = 7) -> Field:
     return train(labelled_pages(pages, seed))
 
 
+@dataclass(eq=False)
+class Place:
+    """What of an element's surroundings the field knows: the same features as path_features(), found from those of the element around it."""
+
+    seen: frozenset[str]  # tags and class words of all elements, as far as the field knows them
+    inner: tuple[str, ...]
+    none: bool  # there is no section or class around
+    parent: str
+    below: dict[str, Place] = field(default_factory=dict)
+    weights: tuple[float, float] | None = None
+
+
 class Decoder:
-    def __init__(self, field: Field) -> None:
-        self.field, self.paths = field, {}
+    def __init__(self, model: Field) -> None:
+        self.field = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.outside, self.equal, self.steps = Place(frozenset(), (), True, "parent none"), {}, 0
+
+    def inside(self, place: Place, name: str) -> Place:
+        """The place inside an element of this name; places with the same features are one."""
+        know = self.field.names
+        tag, *words = name.split(" ")
+        new = {f for f in (f"in {tag}", *(f"class {w}" for w in words)) if f in know} - place.seen
+        inner, none = place.inner, place.none
+        if tag in SECTIONS or words:
+            inner, none = tuple(dict.fromkeys(f for f in (f"inner {tag}", *(f"inner class {w}" for w in words)) if f in know)), False
+        parent = f"parent {tag}" if f"parent {tag}" in know else ""
+        key = (place.seen | new if new else place.seen, inner, none, parent)
+        found = self.equal.get(key)
+        if found is None:
+            found = self.equal[key] = Place(*key)
+        place.below[name] = found
+        self.steps += 1
+        return found
+
+    def place(self, node: Node | None) -> Place:
+        """The place inside an element, kept on the element."""
+        up = []
+        while node is not None and node.place is None:
+            up.append(node)
+            node = node.above
+        place = self.outside if node is None else node.place
+        for x in reversed(up):
+            place = x.place = place.below.get(x.name) or self.inside(place, x.name)
+        return place
 
     def emission(self, b: Block) -> tuple[float, float]:
-        w = self.paths.get(b.path)
+        place = self.place(b.path)
+        w = place.weights
         if w is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            w = self.paths[b.path] = self._sum(path_features(b.path))
-        o, m = self._sum(text_features(b.text, b.linked))
+            w = place.weights = self._sum([*place.seen, *place.inner, place.parent, f"inner none {place.none}"])
+        o, m = self.text_weights(tuple(text_features(b.text, b.linked)))
         return w[0] + o, w[1] + m
 
+    def text_weights(self, features: tuple[str, ...]) -> tuple[float, float]:
+        found = self.equal.get(features)
+        if found is None:
+            found = self.equal[features] = self._sum(features)
+        return found
+
     def _sum(self, features) -> tuple[float, float]:
-        rows = [self.field.names[f] for f in features if f in self.field.names]
+        rows = sorted(self.field.names[f] for f in features if f in self.field.names)
         other, main = self.field.weights[rows].sum(0).tolist() if rows else (0.0, 0.0)
         return other, main
 
@@ -330,6 +446,8 @@ class Decoder:
         if not found:
             return []
         (oo, om), (mo, mm) = self.field.moves.tolist()
+        if self.steps > 50_000:
+            self.forget()
         e = self.emission(found[0])
         o, m = e[0] + float(self.field.start[0]), e[1] + float(self.field.start[1])
         back = []
@@ -345,14 +463,16 @@ class Decoder:
         return out[::-1]
 
 
-def extract(pages: DataFrame, spark: SparkSession, field: Field | None = None) -> DataFrame:
+def extract(pages: DataFrame, spark: SparkSession, model: Field | None = None) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_main for each row of pages (page_id, url, html).
 
-    A null or empty html has an empty text; so has a page without main blocks. Cut-off markup ends with
-    the page. Repeated rows give repeated rows, null ids and urls stay null, an empty table gives an
+    A null or empty html has an empty text; so has a page without main blocks. A tag, comment, script or
+    style that nothing ends takes what follows with it; a quote that nothing closes hides no >; a
+    self-closed element, or another one whose content is not text and that has no end tag, is empty.
+    Repeated rows give repeated rows, null ids and urls stay null, an empty table gives an
     empty table, other columns are not read. A page is parsed whole.
     """
-    shared = spark.sparkContext.broadcast(field or default_field())  # a few hundred features
+    shared = spark.sparkContext.broadcast(model or default_field())  # a few hundred features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)

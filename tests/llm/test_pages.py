@@ -1,8 +1,10 @@
 """Operators on pages and vectors against brute force."""
 
 import random
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import html, topk, urls
@@ -153,3 +155,67 @@ def test_urls_are_tokenised_whole(spark):
     many = [(f"http://h.com/{'/'.join('abcdefghijklmnopqrstuvwxyz')}/{v}", v) for v in ("allow", "block") * 9]
     rules = urls.mine(spark.createDataFrame(many, "url string, label string"))  # 2^26 combinations say the same
     assert sorted((r.label, *r.needs) for r in rules) == [(v, f"{k}={v}") for v in ("allow", "block") for k in ("path26", "word")]
+
+
+M = 1 << 20
+AWKWARD = {
+    "cut-off tag": "<p class=" + "x" * M, "odd quote": '<p class="x>' + "Hello " * (M // 6), "odd quotes": '<a ">" ' * (M // 8) + "'", "quotes over tags": '<p "x>t' * (M // 7),
+    "deep": "<div>x" * 100_000, "deep, named": "".join(f'<div class="k{i:x}z">x' for i in range(50_000)), "ends of nothing": "<div>" * 50_000 + "</p>" * 50_000, "self-closed": "<svg/><p>Hello</p>" * (M // 18),
+    "scripts": "<script>" * (M // 8), "ends of scripts": "<script>" + "</script" * (M // 8), "less": "<" * M, "comments": "<!--" * (M // 4), "declarations": "<!" * (M // 2), "ampersands": "&" * M, "classes": "<p " + 'class=" ' * (M // 8) + ">x",
+}
+
+
+@pytest.mark.parametrize("name", AWKWARD)
+def test_html_time_grows_with_the_page(name):
+    decoder = html.Decoder(html.default_field())
+    began = time.process_time()
+    decoder.decode(html.blocks(AWKWARD[name]))
+    assert time.process_time() - began < 6  # some hundredths to two seconds where nothing else runs
+
+
+def test_html_loses_no_text():
+    text = lambda page: [b.text for b in html.blocks(page)]
+    assert text("<p>one</p><svg/><p>Hello</p><iframe/>more") == ["one", "Hello", "more"]
+    assert text('<p title="a > b">x</p>') == ["x"] and text('<p title="oops>kept</p>') == ["kept"]
+    assert text("1 < 2 and <b>3</b> <4") == ["1 < 2 and 3 <4"]
+    assert text("<iframe>kept <p>too") == ["kept", "too"] and text("<script>gone <p>too") == []
+    assert text("<xmp><i>as it is</i></xmp><math><mi>y</mi><mo>=</mo><mn>2</mn></math> z") == ["<i>as it is</i>", "y=2 z"]
+    assert text("<object>instead</object><!-- no <p> -->yes<!doctype x>") == ["instead", "yes"]
+    assert "rights" in html.text_features("x " * 300 + "© me", 0)
+
+
+def test_places_have_the_features_of_paths():
+    field = html.default_field()
+    decoder = html.Decoder(field)
+    for page, _ in html.labelled_pages(40, seed=99):
+        for b in html.blocks(page):
+            path = decoder._sum(html.path_features(html.ancestors(b.path)))
+            text = decoder._sum(html.text_features(b.text, b.linked))
+            assert np.allclose(decoder.emission(b), (path[0] + text[0], path[1] + text[1]), atol=1e-4)
+
+
+#: Written by hand, after usual layouts of blogs, shops, news, manuals, forums and wikis.
+BY_HAND = [
+    ('<!doctype html><html lang=en><head><title>Sourdough at home - Crumb</title><meta charset=utf-8></head><body><header class="site-header"><a href="/">Crumb</a><nav><a href="/bread">Bread</a><a href="/cake">Cake</a></nav></header><main><article><h1>Sourdough at home</h1><p>Feed the starter twice a day for a week.</p><p>Then mix flour, water and salt, and wait.</p><h2>Baking</h2><p>Bake it hot, with steam, for forty minutes.</p></article></main><aside class="sidebar"><h3>Popular</h3><ul><li><a href="/1">Rye</a></li></ul></aside><footer><p>© 2023 Crumb. All rights reserved.</p></footer></body></html>',
+     "Sourdough at home Feed the starter twice a day for a week. Then mix flour, water and salt, and wait. Baking Bake it hot, with steam, for forty minutes."),
+    ('<body><div id="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div><div class="wrapper"><ul class="menu"><li><a href="#">News</a><li><a href="#">Sport</a></ul><div class="article-body"><h1>Bridge reopens after repairs</h1><p class=lead>The old bridge carries traffic again since Monday morning.</p><div class="ad"><p>Buy one, get one free!</p></div><p>Repairs took eleven months and cost less than planned.</p></div><section id="comments"><h3>3 comments</h3><p>About time, I say.</p></section></div></body>',
+     "Bridge reopens after repairs The old bridge carries traffic again since Monday morning. Repairs took eleven months and cost less than planned."),
+    ('<html><body><div class="navbar"><a href="/">Docs</a> <a href="/api">API</a></div><div role="main"><h1>Installing</h1><p>Unpack the archive and run the installer.</p><pre>tar xf tool.tar\n./install</pre><ul><li>Linux needs version five or later.</li><li>Others are not supported.</li></ul></div><div class="footer">Made with care</div></body></html>',
+     "Installing Unpack the archive and run the installer. tar xf tool.tar ./install Linux needs version five or later. Others are not supported."),
+    ('<body><nav class="breadcrumbs"><a href=/>Home</a> &rsaquo; <a href=/w>Wiki</a></nav><div id="content"><h1>Lake Vänern</h1><p>Vänern is the largest lake in Sweden &amp; the third in Europe.</p><table><tr><th>Area<td>5650 km²</table><blockquote>It looks like a sea.</blockquote></div><form class="search"><input><button>Go</button></form><div class="copyright legal">Text is free to use</div></body>',
+     "Lake Vänern Vänern is the largest lake in Sweden & the third in Europe. Area 5650 km² It looks like a sea."),
+    ('<body><header><div class="logo">Shop</div></header><section class="story"><h2>How we choose wood</h2><p>All of our oak comes from forests near by.</p><p>We saw it, dry it for two years, and plane it by hand.</p></section><div class="newsletter"><p>Sign up for news!</p></div><div class="related-posts"><a href="x">Ash</a><a href="y">Elm</a></div></body>',
+     "How we choose wood All of our oak comes from forests near by. We saw it, dry it for two years, and plane it by hand."),
+]
+
+
+def test_html_pages_by_hand():
+    """Blocks told apart on pages that the generator did not make."""
+    decoder = html.Decoder(html.default_field())
+    right = total = 0
+    for page, want in BY_HAND:
+        found = html.blocks(page)
+        for b, y in zip(found, decoder.decode(found)):
+            right += bool(y) == (b.text in want)
+            total += 1
+    assert total > 40 and right / total > 0.95
