@@ -1,7 +1,9 @@
 """Operators on pages and vectors against brute force."""
 
+import pickle
 import random
 import time
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -10,36 +12,49 @@ from pyspark.sql import functions as F
 from tessera.llm import html, topk, urls
 
 
+def brute_top_k(rows, k=5, scale=256):
+    """By Python's integers, with each row a candidate of its own."""
+    fit = [(i, [int(Fraction(x) * scale // 1) for x in e]) for i, e, _ in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
+    out = set()
+    for q in {i for i, _ in fit if i % 50 == 0}:
+        scored = [(-sum(a * b for a, b in zip(e, f)), j) for i, e in fit if i == q for j, f in fit if j != q and len(f) == len(e)]
+        out |= {(q, n + 1, j, max(min(-s, 2**63 - 1), 1 - 2**63)) for n, (s, j) in enumerate(sorted(scored)[:k])}
+    return out
+
+
 def test_top_k(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-1.5, -0.2, 0.0, 0.11, 0.5, 1.0]) for _ in range(6)], 1) for i in range(300)]
     rows += [(300 + i, rows[7][1], 1) for i in range(20)]  # ties
     rows += [(400, None, 1), (401, [float("nan")] * 6, 1), (402, [0.1, None, 0.1, 0.1, 0.1, 0.1], 1), (403, [float("inf")] * 6, 1), (404, [], 1), (None, [1.0] * 6, 1), (450, [0.5, 0.5], 1), (500, [0.5, -0.5], 1)]
-    rows += [rows[50]] * 3
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "'a' score", "'b' block", "'c' dims", "'d' v")
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, spark, k=5).collect()}
-    v = {i: np.floor(256 * np.array(e)).astype(int) for i, e, _ in rows if i is not None and e and None not in e and np.isfinite(e).all()}
-    expected = {}
-    for q in [i for i in v if i % 50 == 0]:
-        best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q])))[:5]
-        expected |= {(q, n + 1): (c, -s) for n, (s, c) in enumerate(best)}
-    assert got == expected
-
-
-def test_top_k_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CHUNK", 3)
+    rows += [rows[50]] * 3 + [(7, [5.0] * 6, 1), (7, [-5.0] * 6, 1), (100, [2.0] * 6, 1)] + [(13, [0.5] * 6, 1)] * 4  # ids that rows share
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "'a' score", "'b' block", "'c' dims", "'d' v", "'e' row", "'f' kind")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, spark, k=5).collect()
+    assert len(got) == len(set(got)) and {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top_k(rows)
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(i, [float(x) for x in e], 1) for i, e in enumerate([[1e17, 1], [3, -2], [1e300, -1e300], [-1e17, 5], [2**60, 0.25], [0.5, 0.5], [70000, 3]])]
+    rows += [(50, [1e17, -1.0], 1), (100, [1.0, 1.0], 1), (150, [-1e305, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, spark).collect()} == brute_top_k(rows)
+
+
+def test_top_k_blocks(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(200, 5))
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "vec_id long, embedding array<double>")
-    vectors = topk.quantised(df)
-    index, placed = topk.build_index(vectors, spark, block=40)
-    assert index.count() == 5 and placed.count() == 200
+    index, counts = topk.build_index(topk.usable(df, spark), spark, block=40)
+    assert index.count() == 5 == counts.first().blocks
     q = np.floor(256 * m).astype(int)
     for r in index.collect():
         ids = np.frombuffer(r.ids, np.int64)
         slices = np.frombuffer(r.slices, "<u8").reshape(r.dims, r.digits, -1)
-        for query, c, s in topk.search_block(ids, slices, np.frombuffer(r.low, np.int64), np.array([0, 1]), q[:2], 3):
+        for query, c, s in topk.search_block(ids, slices, pickle.loads(r.low), np.array([0, 1]), q[:2], 3):
             assert s == q[query] @ q[c]
+    one_id = spark.createDataFrame([(7, row.tolist()) for row in m], "vec_id long, embedding array<double>")
+    index, _ = topk.build_index(topk.usable(one_id, spark), spark, block=40)  # an id that all rows share is dealt out too
+    assert max(len(r.ids) // 8 for r in index.collect()) < 80
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, spark).count() == 0
 
 
