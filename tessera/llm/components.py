@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+#: Parts that the neighbours of a node are dealt to.
+SALTS = 64
+
+
 def _round(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (a, b): every node's neighbours (large: the greater ones; small: the smaller ones and itself) link to the least."""
+    """One star step over (a, b): every node's neighbours (large: the greater ones; small: the smaller ones and itself) link to the least.
+
+    A node's neighbours are dealt by a hash to parts, and no key is without its part where all of them
+    move: the least of each part is found, the least of those for the node, and it goes back to the parts.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    out = both.join(least, F.col("a") == F.col("n"))
+    both = both.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = both.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    parts = parts.select("a", F.col("s").alias("t")).join(least, F.col("a") == F.col("n")).select("n", "t", "m")
+    out = both.join(parts, (F.col("a") == F.col("n")) & (F.col("s") == F.col("t")))
     if large:
         out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -24,7 +35,7 @@ def components(edges: DataFrame, spark: SparkSession, most_rounds: int = 50) ->
     """node, component for every node of edges (a, b: long); a component's name is its least node.
 
     Each round's edges are a table; it ends when a round changes nothing (every edge then leads from a
-    node to its component). Hot nodes are safe: sums are formed before the shuffle, joins may be split.
+    node to its component). A node with very many neighbours is in no task with more than one of their SALTS parts.
     """
     edges = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
     last = None

@@ -2,7 +2,7 @@
 
 1. Documents with the same set of shingles (five words) form a class; one signature of 200 MinHash
    values stands for it.
-2. Banding (40 bands of 5 values) proposes groups. Bands whose groups are equal are looked at once.
+2. Banding (40 bands of 5 values at a threshold of 0.8) proposes groups. Bands whose groups are equal are looked at once.
    Large groups are dealt out in pairs of blocks. Within a group MinHash values are compared 20 at a
    time; a pair is dropped as soon as the posterior probability that its similarity reaches the
    threshold is below the tolerance. Each block pair returns a spanning forest of what is left.
@@ -12,8 +12,9 @@
    ever made.
 4. The components of the links are the groups.
 
-A pair at a similarity of exactly 0.8 shares no band with probability (1 - 0.8^5)^40 = 1.3e-7; pruning
-loses it with a probability of about the tolerance, 1e-6. At 0.9 both are below 1e-15.
+A pair at a similarity of exactly 0.8 shares no band with probability (1 - 0.8^5)^40 = 1.3e-7; the ten
+steps of pruning lose it with a probability of 8.5e-6. At 0.9 both are below 1e-15. With other thresholds
+the bands are as large as keeps the first below 2e-7.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,10 @@ from .common import WordHash, chunked, grams, mix, packed, signed, table, words
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, PER_BAND = 40, 5
-VALUES, STEP = BANDS * PER_BAND, 20
-TOLERANCE = 1e-6
-BLOCK = 256
+VALUES, STEP = 200, 20
+#: What banding may miss of pairs at the threshold, and what a step of pruning may.
+MISSED, TOLERANCE = 2e-7, 1e-6
+BLOCK = 1024
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
@@ -81,11 +83,20 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint32(16))).astype(np.uint16)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """signed[row, band] keys of signatures[row, value]."""
-    v = sig.reshape(len(sig), BANDS, PER_BAND).astype(np.uint64)
-    h = np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1)
-    for j in range(PER_BAND):
+def band_size(threshold: float = THRESHOLD) -> int:
+    """The most values a band may have so that pairs at the threshold share one, but for a chance of MISSED."""
+    sizes = [k for k in range(8, 0, -1) if (1 - threshold**k) ** (VALUES // k) <= MISSED]
+    if not sizes:
+        raise ValueError(f"{VALUES} values cannot find pairs at a similarity of {threshold}")
+    return sizes[0]
+
+
+def band_keys(sig: np.ndarray, size: int) -> np.ndarray:
+    """signed[row, band] keys of signatures[row, value]; values that fill no band are left out."""
+    bands = VALUES // size
+    v = sig[:, : bands * size].reshape(len(sig), bands, size).astype(np.uint64)
+    h = np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(1)
+    for j in range(size):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + v[:, :, j] + np.uint64(1))
     return signed(h)
 
@@ -185,42 +196,47 @@ def block_pairs(mine: np.ndarray, x: int, y: int) -> tuple[np.ndarray, np.ndarra
     return np.repeat(a, len(b)), np.tile(b, len(a))
 
 
+def named(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of shingles, as two longs."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+
+
 def classes(docs: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls of every row; cls, doc_id (least), copies, sig of every class). Texts without words have a null cls.
+    """(doc_id, h1, h2 of every row; cls, h1, h2, doc_id (least), copies, sig of every class). Texts without words have null h1 and h2.
 
-    A class is named by 64 bits of a hash of its set of shingles.
+    A class is told by 128 bits of a hash of its set of shingles, and numbered by one of its rows.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hashes = WordHash()
         for batch in chunked(batches):
             sets = shingle_sets([words(t) for t in batch.column("text").to_pylist()], hashes)
-            cls = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+            names = [named(s) if len(s) else (None, None) for s in sets]
             sig = pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cls, pa.int64()), sig], names=["doc_id", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)), sig], names=["doc_id", "h1", "h2", "sig"])
 
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(sign, "doc_id bigint, cls bigint, sig binary")
-    rows = table(rows, spark)
-    known = rows.where("cls is not null and doc_id is not null")
-    # The signature comes back by a join with the class's first row: sums without binary values form before the shuffle.
-    firsts = known.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumnRenamed("cls", "c")
-    one = known.join(firsts, (F.col("cls") == F.col("c")) & (F.col("doc_id") == F.col("least"))).select("cls", "doc_id", "copies", "sig")
-    return rows.select("doc_id", "cls"), one.dropDuplicates(["cls"])
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(sign, "doc_id bigint, h1 bigint, h2 bigint, sig binary")
+    rows = table(rows.withColumn("row", F.monotonically_increasing_id()), spark)
+    known = rows.where("h1 is not null and doc_id is not null")
+    # The signature comes back by a join with one row of the class: sums without binary values form before the shuffle.
+    found = known.groupBy("h1", "h2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return rows.select("doc_id", "h1", "h2"), found.join(known.select("row", "sig"), F.col("cls") == F.col("row")).drop("row")
 
 
-def candidate_edges(reps: DataFrame, spark: SparkSession) -> DataFrame:
+def candidate_edges(reps: DataFrame, spark: SparkSession, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: forests of the pairs that banding proposes and pruning leaves."""
+    size = band_size(threshold)
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "sig"):
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-            cls = np.repeat(batch.column("cls").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), pa.array(cls)], names=["key", "cls"])
+            keys = band_keys(sig, size)
+            cls = np.repeat(batch.column("cls").to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cls)], names=["key", "cls"])
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pruner, a, b = Pruner(), [], []
+        pruner, a, b = Pruner(threshold), [], []
         for group in grouped(batches, 3):
             x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
             mine, cls = group.column("mine").to_numpy(), group.column("cls").to_numpy()
@@ -270,20 +286,18 @@ def verified(reps: DataFrame, docs: DataFrame, edges: DataFrame, spark: SparkSes
             )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hashes = WordHash()
         for batch in chunked(batches):
             sets = shingle_sets([words(t) for t in batch.column("text").to_pylist()], hashes)
-            cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], np.int64)
-            same = pa.array(cls == batch.column("cls").to_numpy())  # another text may have the same doc_id
+            names = zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist())
+            same = pa.array([named(s) == n for s, n in zip(sets, names)], pa.bool_())  # another text may have the same doc_id
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "n", "cls", "copies", "sig")), packed(sets)], names=["component", "n", "cls", "copies", "sig", "shingles"])
             yield out.filter(same)
 
     found = table(components(edges, spark), spark)
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "o")
     found = found.join(sizes, F.col("component") == F.col("o")).select("node", "component", "n")
-    found = found.join(reps, F.col("node") == F.col("cls")).select("component", "n", "cls", F.col("doc_id").alias("d"), "copies", "sig")
+    found = found.join(reps, F.col("node") == F.col("cls")).select("component", "n", "cls", "h1", "h2", F.col("doc_id").alias("d"), "copies", "sig")
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     rows = texts.join(found, F.col("doc_id") == F.col("d")).drop("d", "doc_id")
     rows = rows.mapInArrow(fetch, "component bigint, n bigint, cls bigint, copies bigint, sig binary, shingles binary")
@@ -303,14 +317,14 @@ def jaccard_join(docs: DataFrame, spark: SparkSession, threshold: float = THRESH
     """
     rows, reps = classes(docs, spark)
     reps = table(reps, spark)
-    edges = table(candidate_edges(reps, spark), spark)
+    edges = table(candidate_edges(reps, spark, threshold), spark)
     found = table(verified(reps, docs, edges, spark, threshold), spark)
     links = found.groupBy("cls").agg(F.sum("links").alias("near")).withColumnRenamed("cls", "l")
     groups = table(components(found.where("to is not null").select(F.col("cls").alias("a"), F.col("to").alias("b")), spark), spark)
-    named = groups.join(reps.select("cls", "doc_id"), F.col("node") == F.col("cls"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("group")).withColumnRenamed("component", "g")
-    named = named.join(least, F.col("component") == F.col("g")).select("node", "group")
-    every = reps.select("cls", "doc_id", "copies").join(links, F.col("cls") == F.col("l"), "left").join(named, F.col("cls") == F.col("node"), "left")
-    every = every.select(F.col("cls").alias("c"), F.col("doc_id").alias("copy_of"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"), F.coalesce("group", "doc_id").alias("group"))
-    out = rows.join(every, (F.col("cls") == F.col("c")) & F.col("doc_id").isNotNull(), "left")
+    of = groups.join(reps.select("cls", "doc_id"), F.col("node") == F.col("cls"))
+    least = of.groupBy("component").agg(F.min("doc_id").alias("group")).withColumnRenamed("component", "g")
+    of = of.join(least, F.col("component") == F.col("g")).select("node", "group")
+    every = reps.select("cls", "h1", "h2", "doc_id", "copies").join(links, F.col("cls") == F.col("l"), "left").join(of, F.col("cls") == F.col("node"), "left")
+    every = every.select(F.col("h1").alias("u"), F.col("h2").alias("v"), F.col("doc_id").alias("copy_of"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"), F.coalesce("group", "doc_id").alias("group"))
+    out = rows.join(every, (F.col("h1") == F.col("u")) & (F.col("h2") == F.col("v")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.coalesce("group", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("copy_of", "doc_id").alias("copy_of"))

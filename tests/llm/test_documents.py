@@ -411,3 +411,31 @@ def test_shingles():
     h = WordHash()
     assert len(near.shingles("a b c d e f", h)) == 2 and len(near.shingles("a b", h)) == 1 and len(near.shingles(None, h)) == 0
     assert near.shingles("a b", h).tolist() == near.shingles(" a\tb\n", h).tolist()
+
+
+def test_jaccard_join_at_other_thresholds(spark, make):
+    """Links between the threshold and 0.8 are found too."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(220)]
+    rows = [(0, " ".join(base), "en", "s0")]
+    for i in range(1, 60):
+        w = list(base)
+        for at in rng.choice(220, rng.integers(1, 14), replace=False):
+            w[at] = f"x{i}"
+        rows.append((i, " ".join(w), "en", "s0"))
+    root = brute_links(rows, 0.6)
+    assert 1 < len({root[d] for d in root}) < 60
+    for r in rows_of(near.jaccard_join(make(rows), spark, threshold=0.6)):
+        assert r["class_id"] == root[r["doc_id"]]
+    assert near.band_size(0.8) == 5 and near.band_size(0.6) < 5
+    with pytest.raises(ValueError):
+        near.band_size(0.01)
+
+
+def test_components_of_stars_and_chains(spark):
+    from tessera.llm.components import components
+
+    star = [(i, 1000) for i in range(2000, 5000)] + [(i, 1500) for i in range(6000, 8000)] + [(1500, 1000)]
+    chain = [(100_000 + i, 100_001 + i) for i in range(70)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(star + chain, "a long, b long"), spark).collect()}
+    assert all(found[n] == 1000 for e in star for n in e) and all(found[n] == 100_000 for e in chain for n in e) and len(found) == 5002 + 71
