@@ -12,11 +12,10 @@ shard's automaton is built where the text that can match it arrives:
 3. The segments of an anchor are a reference shard. A suffix automaton over them in order of documents
    has in every state the first document of its substrings; every segment streams through it, and the
    matching statistics, cut at the window's length, give each window's first document.
-4. Each document gets back the windows whose first document is smaller, and drops the words they cover.
-
-An anchor with more than SHARD segments (a passage in very many contexts) is not built as one
-automaton: the least document of each of its windows is found by an aggregation by window instead,
-which is exact as well.
+4. A shard of more than SHARD_WORDS words is split first: its windows have the second least hash of
+   their runs as well, so equal windows stay together under both, and so on with the third. With all
+   eleven a shard holds one window, so every shard comes below the bound, and all go through automata.
+5. Each document gets back the windows whose first document is smaller, and drops the words they cover.
 """
 
 from __future__ import annotations
@@ -34,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import WordHash, chunked, drop, grams, signed, table, words
 
 WINDOW, ANCHOR = 13, 3
-#: Segments of an anchor up to which they share an automaton (some 70,000 words).
-SHARD = 4096
+#: Words in one automaton at most; it takes some 600 bytes of Python's memory a word.
+SHARD_WORDS = 16_384
+#: Windows in one segment at most; longer runs of one anchor (periodic texts) are cut.
+PIECE = 512
 
 
 class SuffixAutomaton:
@@ -156,6 +157,18 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(find, "h bigint, doc_id bigint")
 
 
+def pieces(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments (anchor, document, first window, windows) cut into pieces of at most PIECE windows."""
+    k = -(-n // PIECE)
+    i = np.repeat(np.arange(len(n)), k)
+    skip = PIECE * (np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k))
+    return h[i], doc[i], start[i] + skip, np.minimum(n[i] - skip, PIECE)
+
+
+def named(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def segments(wanted: DataFrame, window: int) -> DataFrame:
     """h, s, doc_id, start, words of the segments of (doc_id, z, anchors) whose anchors are wanted."""
 
@@ -170,9 +183,9 @@ def segments(wanted: DataFrame, window: int) -> DataFrame:
             for i, s in enumerate(sets):
                 want[cuts[i] : cuts[i + 1]] = np.isin(signed(h[cuts[i] : cuts[i + 1]]), s)
             at = np.flatnonzero(want)
-            h, doc, start, n = h[at], doc[at], start[at], n[at]
+            h, doc, start, n = pieces(h[at], doc[at], start[at], n[at])
             text = [b" ".join(docs[d][a : a + k + window - 1]) for d, a, k in zip(doc.tolist(), start.tolist(), n.tolist())]
-            s = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in text]
+            s = list(map(named, text))
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(s, pa.int64()), batch.column("doc_id").take(pa.array(doc)), pa.array(start, pa.int32()), pa.array(text, pa.binary())], names=["h", "s", "doc_id", "start", "words"])
 
     return wanted.mapInArrow(cut, "h bigint, s bigint, doc_id bigint, start int, words binary")
@@ -214,24 +227,49 @@ def first_documents(shards: DataFrame, window: int) -> DataFrame:
     return ordered.mapInArrow(match, "h bigint, s bigint, firsts array<bigint>")
 
 
-def first_documents_by_window(shards: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many segments, by an aggregation over windows."""
+def split(shards: DataFrame, window: int, level: int) -> DataFrame:
+    """h, s, doc, words of the parts of segments whose windows share their level-th least hash too; of (whose) h0 and s0, from window `at` on."""
+    width = window - ANCHOR + 1
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
         for batch in chunked(batches, "words", 1 << 20):
             rows: list[tuple] = []
             for h, s, doc, text in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "doc", "words"))):
                 t = text.split(b" ")
-                for i in range(len(t) - window + 1):
-                    rows.append((h, s, doc, i, hashlib.blake2b(b" ".join(t[i : i + window]), digest_size=16).digest()))
+                g = grams(hashes.flat([t])[0], ANCHOR)
+                key = np.sort(np.lib.stride_tricks.sliding_window_view(g, width), 1)[:, level - 1]
+                cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+                for a, b in zip(cuts, cuts[1:]):
+                    part = b" ".join(t[a : b + window - 1])
+                    below = named(h.to_bytes(8, "little", signed=True) + key[a].tobytes())
+                    rows.append((below, named(part), doc, part, h, s, a))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["h", "s", "doc", "i", "w"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["h", "s", "doc", "words", "h0", "s0", "at"])
 
-    rows = shards.select("h", "s", "doc", "words").mapInArrow(explode, "h bigint, s bigint, doc bigint, i int, w binary")
-    least = rows.groupBy("w").agg(F.min("doc").alias("first")).withColumnRenamed("w", "v")
-    found = rows.join(least, F.col("w") == F.col("v")).groupBy("h", "s").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("f"))
-    return found.select("h", "s", F.col("f.first").alias("firsts"))
+    return shards.select("h", "s", "doc", "words").mapInArrow(cut, "h bigint, s bigint, doc bigint, words binary, h0 bigint, s0 bigint, at int")
+
+
+def resolved(cut: DataFrame, spark: SparkSession, window: int, level: int = 1) -> DataFrame:
+    """h, s, firsts (the first document of each window) of the segments in (h, s, doc, words); a table."""
+    size = F.size(F.split(F.col("words").cast("string"), " "))
+    shards = table(cut.groupBy("h", "s").agg(F.min("doc").alias("doc"), F.first("words").alias("words")), spark)
+    large = shards.groupBy("h").agg(F.sum(size).alias("n"), F.count("*").alias("m")).where((F.col("n") > SHARD_WORDS) & (F.col("m") > 1)).select(F.col("h").alias("k"))
+    large = table(large, spark)
+    if level == window - ANCHOR + 1 or large.isEmpty():
+        out = table(first_documents(shards, window), spark)
+    else:
+        usual = table(first_documents(shards.join(large, F.col("h") == F.col("k"), "left_anti"), window), spark)
+        parts = table(split(shards.join(large, F.col("h") == F.col("k"), "left_semi"), window, level + 1), spark)
+        below = resolved(parts.select("h", "s", "doc", "words"), spark, window, level + 1).select(F.col("h").alias("k"), F.col("s").alias("t"), "firsts")
+        found = parts.select("h", "s", "h0", "s0", "at").join(below, (F.col("h") == F.col("k")) & (F.col("s") == F.col("t")))
+        found = found.groupBy(F.col("h0").alias("h"), F.col("s0").alias("s")).agg(F.array_sort(F.collect_list(F.struct("at", "firsts"))).alias("f"))
+        out = table(usual.unionByName(found.select("h", "s", F.flatten("f.firsts").alias("firsts"))), spark)
+        drop(parts, spark)
+        drop(usual, spark)
+    drop(shards, spark)
+    return out
 
 
 def drop_repeats(docs: DataFrame, spark: SparkSession, window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -272,14 +310,7 @@ def drop_repeats(docs: DataFrame, spark: SparkSession, window: int = WINDOW, wit
     cut = table(segments(wanted, window), spark)
     drop(lists, spark)
 
-    shards = table(cut.groupBy("h", "s").agg(F.min("doc_id").alias("doc"), F.first("words").alias("words")), spark)
-    large = shards.groupBy("h").count().where(F.col("count") > SHARD).select(F.col("h").alias("k"))
-    large = table(large, spark)
-    usual = table(first_documents(shards.join(large, F.col("h") == F.col("k"), "left_anti"), window), spark)
-    rest = table(first_documents_by_window(shards.join(large, F.col("h") == F.col("k"), "left_semi"), window), spark)
-    drop(shards, spark)
-    firsts = usual.union(rest).select(F.col("h").alias("k"), F.col("s").alias("t"), "firsts")
-
+    firsts = resolved(cut.select("h", "s", F.col("doc_id").alias("doc"), "words"), spark, window).select(F.col("h").alias("k"), F.col("s").alias("t"), "firsts")
     places = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = cut.select("h", "s", "doc_id", "start").join(firsts, (F.col("h") == F.col("k")) & (F.col("s") == F.col("t"))).select("doc_id", places.alias("places"))
     hits = hits.where(F.size("places") > 0).groupBy("doc_id").agg(F.collect_list("places").alias("at")).withColumnRenamed("doc_id", "d")

@@ -341,8 +341,9 @@ def test_substring(spark, make, documents, monkeypatch):
             seen.setdefault(k, d)
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         expected[d] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-    for shard in (512, 1):  # by automata, and by windows where an anchor has more than one segment
-        monkeypatch.setattr(substring, "SHARD", shard)
+    for shard, piece in ((16_384, 512), (60, 5)):  # small shards are split again and again
+        monkeypatch.setattr(substring, "SHARD_WORDS", shard)
+        monkeypatch.setattr(substring, "PIECE", piece)
         got = rows_of(substring.drop_repeats(make(documents), spark))
         assert len(got) == len(documents)
         for r in got:
@@ -352,6 +353,18 @@ def test_substring(spark, make, documents, monkeypatch):
                 assert r["n_removed"] == 0
 
 
+def test_substring_of_long_periodic_texts(spark, make):
+    """Two texts of a million words with a period of seven: pieces of them are equal, so no automaton is long."""
+    rows = [(1, "a b c d e f g " * 150_000, "en", "s"), (2, "x y z " + "a b c d e f g " * 150_000 + "end of it", "en", "s"), (3, "q " * 1_000_000, "en", "s"), (4, "q " * 20, "en", "s")]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in rows_of(substring.drop_repeats(make(rows), spark, with_text=False))}
+    assert got == {1: (1_050_000, 0), 2: (1_050_006, 1_050_000), 3: (1_000_000, 0), 4: (20, 20)}
+
+
+def test_pieces():
+    h, doc, start, n = substring.pieces(np.array([5, 6], np.uint64), np.array([0, 1]), np.array([10, 3]), np.array([1030, 4]))
+    assert h.tolist() == [5, 5, 5, 6] and doc.tolist() == [0, 0, 0, 1] and start.tolist() == [10, 522, 1034, 3] and n.tolist() == [512, 512, 6, 4]
+
+
 def test_suffix_automaton_against_search():
     import random
 
