@@ -30,36 +30,54 @@ def sizes(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
             n = pa.array([len(words(t)) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n, batch.column("hash")], names=["doc_id", "source", "size", "hash"])
 
-    kept = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(source as string) source", "cast(text as string) text")
-    out = kept.mapInArrow(count, "doc_id bigint, source string, size bigint")
-    return out.withColumn("hash", hashed())
+    kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), hashed().alias("hash"))
+    return kept.mapInArrow(count, "doc_id bigint, source string, size bigint, hash bigint")
 
 
 def hashed() -> Column:
-    """60 bits of the MD5 of doc_id as text."""
-    name = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(""))
+    """60 bits of the MD5 of doc_id as text; of source and text where there is no doc_id."""
+    own = F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "text")))
+    name = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), own)
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
 
 
-def targets(sized: DataFrame) -> DataFrame:
+def running(df: DataFrame, spark: SparkSession, order: list[Column], *names: str) -> tuple[DataFrame, list[int]]:
+    """(df with `place`, a row's number from 0 in the order, and `before_x` for each name x, its sum over the rows before; the whole sums).
+
+    Rows are dealt by ranges of the order. Only the counts and sums of each range come to the driver: as many as there are partitions.
+    """
+    parts = table(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), spark)
+    sums = parts.groupBy("range").agg(F.count("*"), *(F.sum(n) for n in names)).collect()
+    starts, so_far = [], [0] * (1 + len(names))
+    for r in sorted(sums):
+        starts.append((r[0], *so_far))
+        so_far = [a + b for a, b in zip(so_far, r[1:])]
+    fields = ", ".join(["of int", "rows0 bigint", *(f"{n}0 bigint" for n in names)])
+    out = parts.join(F.broadcast(spark.createDataFrame(starts, fields)), F.col("range") == F.col("of"))
+    inside = Window.partitionBy("range").orderBy(*order)
+    before = {f"before_{n}": F.col(f"{n}0") + F.coalesce(F.sum(n).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n in names}
+    out = out.withColumns({"place": F.col("rows0") + F.row_number().over(inside) - 1} | before)
+    return out.drop("range", "of", "rows0", *(f"{n}0" for n in names)), so_far[1:]
+
+
+def targets(sized: DataFrame, spark: SparkSession) -> DataFrame:
     """source, source_size, target: weights 1, 2, 3 over the sources by code point, null last; caps reshared by weight.
 
     Sources are ordered by cap over weight; the first whose share of what the ones before leave stays
-    under its cap sets the level for it and all that follow. The frame has a row for each source.
+    under its cap sets the level for it and all that follow. The frame has a row for each source; there may
+    be as many as sites.
     """
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))).cast("int") + 1)
-    by = by.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MOST_REPEATS).withColumn("ratio", F.col("cap") / F.col("weight"))
-    every, up = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").isNull(), "source")
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    by = by.withColumn("level", level)
-    open_ = F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull().alias("n"), "source", "level"))
-    by = by.withColumn("first", F.min(open_).over(every))
-    target = F.when(F.col("first").isNull() | (F.col("ratio") <= F.col("first.level")), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("first.level"))
+    name = [F.col("source").isNull(), F.col("source")]
+    by, _ = running(sized.groupBy("source").agg(F.sum("size").alias("source_size")), spark, name)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS)).cast("int") + 1)
+    by = by.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MOST_REPEATS).withColumn("ratio", F.col("cap") / F.col("weight")).drop("place")
+    by, (cap, weights) = running(by, spark, [F.col("ratio"), *name], "cap", "weight")
+    by = table(by.withColumn("level", (F.lit(cap // MOST_REPEATS) - F.col("before_cap")) / (F.lit(weights) - F.col("before_weight"))), spark)
+    open_ = by.where("level <= ratio").agg(F.min(F.struct("place", "level")).alias("r")).first()
+    level = open_.r.level if open_.r else float("inf")
+    target = F.when(F.col("ratio") <= F.lit(level), F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(level))
     return by.select("source", "source_size", target.alias("target"))
 
 
@@ -95,7 +113,8 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source).
 
     A null text has size 0 and is taken 0 times over; a null source is a source of its own, ordered
-    last; rows of one doc_id share a hash and are taken alike; a null doc_id hashes as an empty string.
+    last; rows of one doc_id share a hash and are taken alike; rows without one are hashed by source and text,
+    so that they are taken one by one.
     An empty table gives an empty table. Columns besides the three are not read. The rows are cut to a
     table of ids, sources, sizes and hashes once; thresholds (one row for each source) are found by six
     aggregations over it, each of at most 1024 sums a source.
@@ -107,7 +126,7 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
 
 def taking(rows: DataFrame, sized: DataFrame, spark: SparkSession) -> DataFrame:
     """rows (source, hash and whatever else) with source_size, target and times, from the thresholds that sized gives."""
-    found = thresholds(sized, table(targets(sized), spark), spark)
+    found = thresholds(sized, table(targets(sized, spark), spark), spark)
     found = found.select(F.col("source").alias("s"), "source_size", "target", "full", "below")
     out = rows.join(found, F.col("source").eqNullSafe(F.col("s")), "left")
     times = F.col("full") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)

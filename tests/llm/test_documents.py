@@ -452,3 +452,33 @@ def test_components_of_stars_and_chains(spark):
     chain = [(100_000 + i, 100_001 + i) for i in range(70)]
     found = {r.node: r.component for r in components(spark.createDataFrame(star + chain, "a long, b long"), spark).collect()}
     assert all(found[n] == 1000 for e in star for n in e) and all(found[n] == 100_000 for e in chain for n in e) and len(found) == 5002 + 71
+
+
+def test_mixing_takes_rows_without_ids_one_by_one(spark):
+    rows = [(None, f"{'w ' * 50}{i}", "en", "a") for i in range(400)] + [(i, "v " * 100, "en", "b") for i in range(30)]
+    out = rows_of(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark))
+    a = [r for r in out if r["source"] == "a"]
+    assert abs(sum(r["taken"] for r in a) - a[0]["target"]) <= 102
+
+
+def test_mixing_of_very_many_sources(spark):
+    """As many sources as rows: running sums over ranges equal those over one list."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(0, 9, 700)
+    rows = [(i, "w " * int(n), "en", f"s{i:04}") for i, n in enumerate(sizes)] + [(1000, "w " * 5, "en", None)]
+    got = {r["source"]: r["target"] for r in rows_of(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark))}
+    size = {s: len(words(t)) for _, t, _, s in rows}
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    left, open_, target = sum(size.values()), set(order), {}
+    while True:
+        level = left / sum(weight[s] for s in open_) if open_ else 0
+        over = {s for s in open_ if weight[s] * level > 3 * size[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= 3 * size[s]
+        open_ -= over
+    target |= {s: weight[s] * level for s in open_}
+    assert all(abs(got[s] - target[s]) < 1e-6 for s in order)
