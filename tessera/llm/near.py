@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunked, grams, mix, packed, signed, table, words
+from .common import WordHash, carried, chunked, grams, mix, packed, signed, table, words
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -202,11 +202,12 @@ def named(s: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def classes(docs: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h1, h2 of every row; cls, h1, h2, doc_id (least), copies, sig of every class). Texts without words have null h1 and h2.
+def classes(docs: DataFrame, spark: SparkSession, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, h1, h2 of every row, and what to keep of it; cls, h1, h2, doc_id (least), copies, sig of every class).
 
-    A class is told by 128 bits of a hash of its set of shingles, and numbered by one of its rows.
+    Texts without words have null h1 and h2. A class is told by 128 bits of a hash of its set of shingles, and numbered by one of its rows.
     """
+    rest, schema = carried(docs, tuple(c for c in keep if c != "doc_id"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -214,14 +215,15 @@ def classes(docs: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]
             sets = shingle_sets([words(t) for t in batch.column("text").to_pylist()], hashes)
             names = [named(s) if len(s) else (None, None) for s in sets]
             sig = pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)), sig], names=["doc_id", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), batch.column("doc_id"), *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)), sig], names=[*rest, "doc_id", "h1", "h2", "sig"])
 
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(sign, "doc_id bigint, h1 bigint, h2 bigint, sig binary")
+    read = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(c for c in rest if c != "text"))
+    rows = read.mapInArrow(sign, schema + "doc_id bigint, h1 bigint, h2 bigint, sig binary")
     rows = table(rows.withColumn("row", F.monotonically_increasing_id()), spark)
     known = rows.where("h1 is not null and doc_id is not null")
     # The signature comes back by a join with one row of the class: sums without binary values form before the shuffle.
     found = known.groupBy("h1", "h2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return rows.select("doc_id", "h1", "h2"), found.join(known.select("row", "sig"), F.col("cls") == F.col("row")).drop("row")
+    return rows.drop("sig"), found.join(known.select("row", "sig"), F.col("cls") == F.col("row")).drop("row")
 
 
 def candidate_edges(reps: DataFrame, spark: SparkSession, threshold: float = THRESHOLD) -> DataFrame:
@@ -305,17 +307,12 @@ def verified(reps: DataFrame, docs: DataFrame, edges: DataFrame, spark: SparkSes
     return rows.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(verify, "cls bigint, links bigint, to bigint")
 
 
-def jaccard_join(docs: DataFrame, spark: SparkSession, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links, copy_of for each row of docs (doc_id, text).
+def linked(docs: DataFrame, spark: SparkSession, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs with a number, and what to keep of them; row, part, doc_id, class_id, n_links, copy_of for each): see jaccard_join().
 
-    n_links is the number of other rows whose similarity (Jaccard, of sets of five words) is the
-    threshold or more, exact copies among them; class_id is the least doc_id of those that links
-    connect; copy_of the least doc_id with the same shingles. Texts of one to four words have one shingle,
-    all of them. A null or empty text has no links and is a class and a group of its own. A row with a
-    null doc_id has no links and null ids. Repeated rows count as copies. An empty table gives an empty
-    table; other columns are not read.
+    part numbers the group, as groups of one least doc_id may be several where rows share ids; null without words or id.
     """
-    rows, reps = classes(docs, spark)
+    rows, reps = classes(docs, spark, keep)
     reps = table(reps, spark)
     edges = table(candidate_edges(reps, spark, threshold), spark)
     found = table(verified(reps, docs, edges, spark, threshold), spark)
@@ -323,8 +320,37 @@ def jaccard_join(docs: DataFrame, spark: SparkSession, threshold: float = THRESH
     groups = table(components(found.where("to is not null").select(F.col("cls").alias("a"), F.col("to").alias("b")), spark), spark)
     of = groups.join(reps.select("cls", "doc_id"), F.col("node") == F.col("cls"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("group")).withColumnRenamed("component", "g")
-    of = of.join(least, F.col("component") == F.col("g")).select("node", "group")
+    of = of.join(least, F.col("component") == F.col("g")).select("node", "group", "component")
     every = reps.select("cls", "h1", "h2", "doc_id", "copies").join(links, F.col("cls") == F.col("l"), "left").join(of, F.col("cls") == F.col("node"), "left")
-    every = every.select(F.col("h1").alias("u"), F.col("h2").alias("v"), F.col("doc_id").alias("copy_of"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"), F.coalesce("group", "doc_id").alias("group"))
-    out = rows.join(every, (F.col("h1") == F.col("u")) & (F.col("h2") == F.col("v")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.coalesce("group", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
+    every = every.select(F.col("h1").alias("u"), F.col("h2").alias("v"), F.col("doc_id").alias("copy_of"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"), F.coalesce("group", "doc_id").alias("group"), F.coalesce("component", "cls").alias("part"))
+    narrow = rows.select("row", "doc_id", "h1", "h2")
+    out = narrow.join(every, (F.col("h1") == F.col("u")) & (F.col("h2") == F.col("v")) & F.col("doc_id").isNotNull(), "left")
+    return rows, out.select("row", "part", "doc_id", F.coalesce("group", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
+
+
+def jaccard_join(docs: DataFrame, spark: SparkSession, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links, copy_of for each row of docs (doc_id, text).
+
+    n_links is the number of other rows whose similarity (Jaccard, of sets of five words) is the
+    threshold or more, exact copies among them; class_id is the least doc_id of those that links
+    connect; copy_of the least doc_id with the same shingles. Texts of one to four words have one shingle,
+    all of them. A null or empty text has no links and is a class and a group of its own. A row with a
+    null doc_id has no links and null ids. Repeated rows count as copies. An empty table gives an empty
+    table; other columns are not read.
+    """
+    return linked(docs, spark, threshold)[1].select("doc_id", "class_id", "n_links", "copy_of")
+
+
+def one_of_each(docs: DataFrame, spark: SparkSession, keep: tuple[str, ...], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (its columns in keep), one of each group: that with the least doc_id.
+
+    Of several rows with that doc_id in the group one stays, whichever they are; rows that share a doc_id and are
+    no copies are of different groups and all stay. Rows without words or without doc_id stay. An empty table
+    gives an empty table.
+    """
+    rows, found = linked(docs, spark, threshold, keep)
+    found = table(found.where("part is not null").select("row", "part", "doc_id", "class_id"), spark)
+    least = found.where("doc_id = class_id")
+    stay = least.groupBy("part").agg(F.min("row").alias("r"))
+    gone = found.where("doc_id <> class_id").select("row").union(least.join(stay, F.col("row") == F.col("r"), "left_anti").select("row"))
+    return rows.join(table(gone.select(F.col("row").alias("r")), spark), F.col("row") == F.col("r"), "left_anti").select(*keep)
