@@ -16,7 +16,11 @@ LEAST_SHARE = 0.5
 
 @shipped
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is undetermined or holds less than half of their letters."""
+    """Drop documents whose language is undetermined or holds less than half of their letters.
+
+    Null and empty texts, and those without letters, are undetermined and go; long texts are labelled whole.
+    Repeated rows are judged alike and stay or go together; an empty table gives an empty table.
+    """
     docs = docs.select(*COLUMNS)
     model = language.learned(docs)
     found = language.label(docs, spark, model, keep=COLUMNS)
@@ -25,20 +29,21 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the least doc_id, of each group of near copies; rows without an id stay."""
-    docs = docs.select(*COLUMNS)
-    drop = table(near.jaccard_join(docs, spark).where("doc_id <> class_id").select(F.col("doc_id").alias("d")).distinct(), spark)
-    # Rows that share a doc_id are one document: the least text stands for it.
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d"))
-    twice = table(twice.join(drop, "d", "left_anti"), spark)
-    once = docs.join(drop.union(twice), F.col("doc_id") == F.col("d"), "left_anti")
-    least = docs.join(twice, F.col("doc_id") == F.col("d"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return once.unionByName(least.select("doc_id", "r.*"))
+    """Keep one document, that with the least doc_id, of each group of near copies.
+
+    Repeated rows are copies: one stays. Rows that share a doc_id but not their text are documents of their
+    own. Rows without a doc_id, null and empty texts stay. An empty table gives an empty table.
+    """
+    return near.one_of_each(docs.select(*COLUMNS), spark, COLUMNS)
 
 
 @shipped
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by a mark; n_chars follows the text."""
+    """Replace every secret by a mark; n_chars follows the text.
+
+    Null and empty texts have none and stay as they are; long texts are scanned whole; repeated rows give
+    repeated rows, in one way; an empty table gives an empty table.
+    """
     found = secrets.scan_secrets(docs.select(*COLUMNS), keep=COLUMNS)
     text = F.when(F.col("n_spans") > 0, F.col("redacted")).otherwise(F.col("text"))
     return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_spans") > 0, F.length("redacted")).otherwise(F.col("n_chars")).cast("bigint").alias("n_chars"))
@@ -46,13 +51,22 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @shipped
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat every document as often as the mix takes it; those it takes no times go."""
+    """Repeat every document as often as the mix takes it; those it takes no times go.
+
+    A null or empty text has no words: it changes no sum and is repeated like others of its source. A null source
+    is a source of its own. Rows of one doc_id are taken alike, those without one by source and text. An empty
+    table gives an empty table.
+    """
     return mixing.repeated(docs.select(*COLUMNS), spark)
 
 
 @shipped
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack into sequences of at most 4096 tokens: a row for each piece, with its ids."""
+    """Pack into sequences of at most 4096 tokens: a row for each piece, with its ids.
+
+    A null or empty text is its end token alone; a long text is cut into pieces; repeated rows are packed each
+    by itself; an empty table gives no pieces.
+    """
     import public_tokenizers
 
     return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
