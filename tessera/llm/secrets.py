@@ -29,7 +29,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh")
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", re.ASCII)
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+[nr])++)-----END \1-----", re.ASCII)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]++)-----((?:[A-Za-z0-9+/=\s]|\\+[nr])++)-----END \1-----", re.ASCII)
 #: A line break, or its escape, inside an encoded run.
 _BREAK = r"(?:[ \t]*+(?:(?:\r?\n|\r|\\+[nr])[ \t]*+)++)"
 BREAK = re.compile(_BREAK, re.ASCII)
@@ -50,29 +50,31 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes, depth: int = 0) -> int | None:
-    """The number of DER items in data if all their nested lengths add up, else None."""
-    at, n = 0, 0
-    while at < len(data):
-        if at + 2 > len(data) or depth > 16:
+def der_items(data: bytes) -> int | None:
+    """The number of DER items in data, nested to any depth, if all their lengths add up, else None."""
+    at, n, ends = 0, 0, [len(data)]
+    while True:
+        while ends and at == ends[-1]:
+            ends.pop()
+        if not ends:
+            return n
+        if at + 2 > ends[-1]:
             return None
         tag, size, at = data[at], data[at + 1], at + 2
         if tag & 31 == 31 or tag == 0:
             return None
         if size & 128:
             k = size & 127
-            if not 1 <= k <= 4 or at + k > len(data):
+            if not 1 <= k <= 4 or at + k > ends[-1]:
                 return None
             size, at = int.from_bytes(data[at : at + k], "big"), at + k
-        if at + size > len(data):
+        if at + size > ends[-1]:
             return None
+        n += 1
         if tag & 32:
-            inner = der_items(data[at : at + size], depth + 1)
-            if inner is None:
-                return None
-            n += inner
-        n, at = n + 1, at + size
-    return n
+            ends.append(at + size)
+        else:
+            at += size
 
 
 def is_der_key(data: bytes) -> bool:
@@ -107,7 +109,7 @@ def openssh_size(data: bytes) -> int:
         return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return at if 1 <= keys <= 64 and all(field() for _ in range(keys + 1)) else 0
+    return at if keys and all(field() for _ in range(keys + 1)) else 0  # ends where the data does, however many they claim
 
 
 def is_openssh_key(data: bytes) -> bool:
