@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.6
+#: Pages that a rule needs at least, however few there are.
+LEAST_PAGES = 5
 #: A rule has at most so many tokens; a URL may have any number.
 MOST_NEEDS = 10
 CACHE = 200_000
@@ -28,7 +30,8 @@ CACHE = 200_000
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 LABELS = ("allow", "block")
 
-URL = re.compile(r"([^:/?#]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", re.DOTALL)
+#: What follows the first :// of a url.
+REST = re.compile(r"([^/?#]*)([^?#]*)(?:\?([^#]*))?", re.DOTALL)
 WORD = re.compile(r"\d+|[^\W\d_]+")
 FOUND = pa.schema([("needs", pa.list_(pa.int32())), ("label", pa.string()), ("n", pa.int64()), ("confidence", pa.float64())])
 
@@ -38,10 +41,11 @@ def tokens(url: str | None) -> list[str]:
 
     A segment that starts with digits also counts by its first digit and their number.
     """
-    m = URL.search(url or "")
-    if not m:
+    before, found, after = (url or "").partition("://")
+    if not found:
         return ["no-url"]
-    scheme, host, path, query = m.groups()
+    scheme = before[max(map(before.rfind, ":/?#")) + 1 :]
+    host, path, query = REST.match(after).groups()
     labels = host.lower().split(".")
     out = [f"top={labels[-1]}", f"host={host.lower()}"]
     out += [f"sub={labels[0]}"] if len(labels) > 2 else []
@@ -71,13 +75,13 @@ class Rule:
     support: float
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Rule]:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least_pages: int = 1) -> list[Rule]:
     """Rules of at most MOST_NEEDS tokens from labelled (url, label), best first. Rows with a null label are left out; without rows there are no rules."""
     rows = labelled.where("label is not null").select(F.col("url").cast("string").alias("url"), F.col("label").cast("string").alias("label"))
     total = rows.count()
     if not total:
         return []
-    least = math.ceil(min_support * total)
+    least = max(math.ceil(min_support * total), least_pages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ((t, v) for u, v in _pairs(batches) for t in tokens(u))
@@ -227,7 +231,7 @@ def judge(pages: DataFrame, spark: SparkSession, rules: tuple[tuple[str, str, st
     given = ruled(pages, rules)
     if labelled is None:
         labelled = given.select("url", F.col("ruling").alias("label"))
-    mined = spark.sparkContext.broadcast(mine(labelled))  # bounded by MIN_SUPPORT and MOST_NEEDS
+    mined = spark.sparkContext.broadcast(mine(labelled, least_pages=LEAST_PAGES))  # bounded by MIN_SUPPORT and MOST_NEEDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(mined.value, LABELS[0])

@@ -234,3 +234,19 @@ def test_html_pages_by_hand():
             right += bool(y) == (b.text in want)
             total += 1
     assert total > 40 and right / total > 0.95
+
+
+def test_url_tokens_take_time_in_proportion():
+    began = time.process_time()
+    assert urls.tokens("x" * 1_000_000) == ["no-url"]
+    assert "scheme=http" in urls.tokens("a" * 500_000 + "#http://host.example/" + "b" * 500_000)
+    assert time.process_time() - began < 2
+    assert {"scheme=https", "host=a.b.net", "path0=x1", "key=q"} <= set(urls.tokens("see:https://A.b.net/x1?q=1#f://g"))
+    assert "scheme=" in urls.tokens("://h/p")
+
+
+def test_rules_need_some_pages(spark):
+    rows = [(f"http://one{i}.example.com/a", "block") for i in range(6)] + [(f"http://two{i}.example.com/b", "allow") for i in range(6)]
+    found = urls.mine(spark.createDataFrame(rows, "url string, label string"), least_pages=urls.LEAST_PAGES)
+    assert found and all(round(r.support * 12) >= urls.LEAST_PAGES for r in found)
+    assert not any("host=" in t for r in found for t in r.needs)
