@@ -241,12 +241,23 @@ def _table(data: bytes, at: int, f: Frame, audio: Audio) -> bool:
     return True
 
 
+def _equal(block: np.ndarray, first: np.ndarray) -> int:
+    """How many rows from the first on start with these bytes; looks at few more rows than those."""
+    n, width = 0, 8
+    while n < len(block):
+        same = (block[n : n + width, : len(first)] == first).all(1)
+        if not same.all():
+            return n + int(same.argmin())
+        n, width = n + len(same), 2 * width
+    return n
+
+
 def read(data: bytes) -> Audio:
     """Parse a stream. The payload is what frames of this module's writer hold, cut to the tag's count."""
     audio = Audio()
     at = _tags(data, 0, audio.tags)
     end = len(data) - 128 * (data[-128:-125] == b"TAG")
-    offsets, samples, seen, synced = [], 0, False, False
+    offsets, payload, samples, seen, synced = [], [], 0, False, False
     while at < end:
         f = header(data, at)
         if f and at + f.size <= end and (synced or at + f.size + 4 > end or header(data, at + f.size)):
@@ -256,22 +267,21 @@ def read(data: bytes) -> Audio:
             # All frames that follow with the same four header bytes lie at one distance: take them at once.
             h, n = data[at : at + 4], 1
             block = np.frombuffer(data, np.uint8, (end - at) // f.size * f.size, at).reshape(-1, f.size)
-            same = (block[:, :4] == np.frombuffer(h, np.uint8)).all(1)
-            n = len(same) if same.all() else int(same.argmin())
+            n = _equal(block, np.frombuffer(h, np.uint8))
             seen, synced = True, True
             offsets.append(at + f.size * np.arange(n, dtype=np.int64))
             samples, audio.rate = samples + n * f.samples, f.rate
             if f.protected:
                 audio.checked, audio.bad = audio.checked + n, audio.bad + failures(block[:n], f)
             if h == HEADER:
-                audio.payload += block[:n, BODY : BODY + PER_FRAME].tobytes()
+                payload.append(block[:n, BODY : BODY + PER_FRAME].tobytes())
             at += n * f.size
         else:
             synced = False
             step = data.find(b"\xff", at + 1, end)
             step = end if step < 0 else step
             audio.skipped, at = audio.skipped + step - at, step
-    audio.samples = samples
+    audio.samples, audio.payload = samples, b"".join(payload)
     audio.offsets = np.concatenate(offsets) if offsets else audio.offsets
     if (n := audio.tags.get("payload_bytes", "")).isdigit():
         audio.payload = audio.payload[: int(n)]

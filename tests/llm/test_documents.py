@@ -482,3 +482,39 @@ def test_mixing_of_very_many_sources(spark):
         open_ -= over
     target |= {s: weight[s] * level for s in open_}
     assert all(abs(got[s] - target[s]) < 1e-6 for s in order)
+
+
+def test_secrets_nested_and_long(spark):
+    def der(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")) + body
+
+    inner = der(2, b"\x01" * 40)
+    for _ in range(5000):
+        inner = der(0x30, inner)
+    assert secrets.der_items(inner) == 5001 and secrets.der_items(inner[:-1]) is None
+    assert secrets.der_items(der(0x30, der(2, b"ab") + der(4, b"c"))) == 3 and secrets.der_items(b"\x30\x05\x02\x01") is None
+    key = der(0x30, der(2, b"\0") + der(2, b"\x05" * 60) + der(0x30, der(6, b"\x2a\x03")))
+    import base64
+
+    label = "VERY " * 20 + "LONG KEY"
+    text = f"-----BEGIN {label}-----\n{base64.b64encode(key).decode()}\n-----END {label}-----"
+    assert [s[0] for s in secrets.plain_spans(text)] == ["pem"]
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    many = secrets.OPENSSH + field(b"none") * 2 + field(b"") + (90).to_bytes(4, "big") + field(b"public") * 90 + field(b"private")
+    assert secrets.is_openssh_key(many) and not secrets.is_openssh_key(many[:-1])
+    assert secrets.openssh_size(secrets.OPENSSH + field(b"none") * 2 + field(b"") + b"\xff\xff\xff\xff" + bytes(400)) == 0
+
+
+def test_mpeg_reader_of_alternating_headers():
+    """Frames that differ in padding one by one: time grows with the stream."""
+    import time
+
+    frame = lambda padded: bytes([0xFF, 0xFB, 0x90 | 2 * padded, 0]) + bytes(413 + padded)
+    took = []
+    for n in (2000, 16_000):
+        began = time.process_time()
+        audio = mpeg.read(b"".join(frame(i % 2) for i in range(n)))
+        took.append(time.process_time() - began)
+        assert len(audio.offsets) == n and audio.samples == 1152 * n
+    assert took[1] < 30 * max(took[0], 0.02)
