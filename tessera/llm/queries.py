@@ -54,7 +54,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), spark).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_topk, op3_html, op4_secrets, op5_language, op6_urls, op7_mpeg, op8_packing, op9_substring, op10_mixing)}
+# The columns of three of these that SQL can express, of the same operators on the same tables.
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def urls_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict"))
+    return op6_urls(spark, sf_dir).select("page_id", "host", "path", "rule", ruled.alias("ruling"))
+
+
+def mpeg_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mpeg(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_topk, op3_html, op4_secrets, op5_language, op6_urls, op7_mpeg, op8_packing, op9_substring, op10_mixing, secrets_base, urls_ruled, mpeg_payload)}
 
 ORACLE_SQL = {
     "op1_jaccard": r"""
@@ -122,5 +138,29 @@ run AS (
 SELECT doc_id, size, source_size, target,
   CAST(size * (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM run
+""",
+    "secrets_base": r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+FROM documents
+""",
+    "urls_ruled": r"""
+WITH found AS (SELECT page_id, strpos(url, '://') AS i, url FROM pages),
+rest AS (SELECT page_id, CASE WHEN i > 0 THEN substr(url, i + 3) ELSE '' END AS r FROM found),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^([^/?#]*)([^?#]*)', 2) AS path FROM rest),
+rules(h, p, ruling) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT page_id, h || p AS rule, ruling, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT parts.page_id, host, path, rule, ruling FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND k = 1
+""",
+    "mpeg_payload": r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(greatest(1, (octet_length(b) + 63) // 64) * 64 AS BIGINT) AS payload_bytes FROM b)
+SELECT doc_id, n_bytes, payload_bytes, sha256(b || unhex(repeat('00', CAST(payload_bytes - n_bytes AS BIGINT)))) AS payload_sha256 FROM n
 """,
 }
