@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, table
 
 
 #: Parts that the neighbours of a node are dealt to.
@@ -31,20 +31,24 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node that has no other to one that has none: then b is a's component."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("top")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("top").alias("top")).where("down + top > 1").isEmpty()
+
+
 def components(edges: DataFrame, spark: SparkSession, most_rounds: int = 50) -> DataFrame:
     """node, component for every node of edges (a, b: long); a component's name is its least node.
 
-    Each round's edges are a table; it ends when a round changes nothing (every edge then leads from a
-    node to its component). A node with very many neighbours is in no task with more than one of their SALTS parts.
+    Each round's edges are a table; it ends when every edge leads from a node to its component. A node with
+    very many neighbours is in no task with more than one of their SALTS parts.
     """
     edges = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
-    last = None
     for _ in range(most_rounds):
-        edges = table(_round(_round(edges, large=True), large=False), spark)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == last:
+        if _settled(edges):
             break
-        last = now
+        before, edges = edges, table(_round(_round(edges, large=True), large=False), spark)
+        drop(before, spark)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
