@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, chunked, drop, grams, signed, table, words
 
 WINDOW, ANCHOR = 13, 3
-#: Words in one automaton at most; it takes some 600 bytes of Python's memory a word.
+#: Words in one automaton at most; it takes 300 to 600 bytes of Python's memory a word.
 SHARD_WORDS = 16_384
 #: Windows in one segment at most; longer runs of one anchor (periodic texts) are cut.
 PIECE = 512

@@ -518,3 +518,11 @@ def test_mpeg_reader_of_alternating_headers():
         took.append(time.process_time() - began)
         assert len(audio.offsets) == n and audio.samples == 1152 * n
     assert took[1] < 30 * max(took[0], 0.02)
+
+
+def test_language_of_held_out_documents(spark):
+    """All languages of the table, those documents only that the model has not seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.label(docs, spark, language.learned(docs)).join(docs.selectExpr("doc_id d", "lang"), F.col("doc_id") == F.col("d"))
+    found = [(r.lang, r.lang_pred) for r in got.where(language.held_out(F.col("doc_id"))).where("lang is not null and lang_pred <> 'und'").collect()]
+    assert len({a for a, _ in found}) == 4 and sum(a == b for a, b in found) > 0.95 * len(found)

@@ -250,3 +250,13 @@ def test_rules_need_some_pages(spark):
     found = urls.mine(spark.createDataFrame(rows, "url string, label string"), least_pages=urls.LEAST_PAGES)
     assert found and all(round(r.support * 12) >= urls.LEAST_PAGES for r in found)
     assert not any("host=" in t for r in found for t in r.needs)
+
+
+def test_mined_verdicts_of_held_out_pages(spark):
+    """Rules mined from the fixed rules' verdicts on half of the pages, against those on the other half."""
+    ruled = urls.ruled(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("ruling is not null")
+    rules = urls.mine(ruled.where("page_id % 2 = 0").selectExpr("url", "ruling label"), least_pages=urls.LEAST_PAGES)
+    matcher = urls.Matcher(rules, "allow")
+    rest = ruled.where("page_id % 2 = 1").select("url", "ruling").collect()
+    right = sum(matcher.match(r.url)[0] == r.ruling for r in rest)
+    assert len(rest) > 200 and right > 0.9 * len(rest)
