@@ -189,6 +189,9 @@ class Lowering:
         if (names := v.names()) is not None:
             parts += [self.free(r, n, v.field(n)[1]) for n in names if n not in declared]
             return both(parts)
+        if not r.patterns and r.additional == m.NOTHING:  # as many names as declared ones that are there
+            own = " + ".join(f"CAST({v.field(n)[0]} AS INT)" for n in sorted(declared)) or "0"
+            return both([*parts, Sql(f"{v.n_names()} = {own}")])
         array, make = v.entries()
         unsure = False
 

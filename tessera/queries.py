@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import api
 from .plans import dump
+from .plans.source import Library, parse
 from .shared import shared_dir
 from .streaming import validate
 
@@ -302,6 +303,115 @@ def top_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.quarantine(df, compiled, "v").withColumn("place", place).where("place <= 5").select("o_orderstatus", "place", "o_orderkey")
 
 
+def nullable_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`nullable` of OpenAPI 3.0 beside a type lets null through."""
+    compiled = api.compile_schema('{"type":"object","properties":{"brand":{"type":"string","nullable":true,"maxLength":7},"size":{"type":"integer"}},"required":["brand"]}')
+    df = read(spark, sf_dir, "part").select("p_brand", F.expr(obj(brand="if(p_size > 25, NULL, p_brand)", size="p_size")).alias("v"))
+    return api.check(df, compiled, "v", "ok").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_valid"))
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a schema says about a field (title, xml, extensions), as the storage's metadata."""
+    compiled = api.compile_schema('{"type":"object","properties":{"a":{"type":"string","title":"Name","xml":{"attribute":true},"x-unit":"m"},"b":{"type":"boolean","default":false,"deprecated":true}}}')
+    rows = [(f.name, k, v) for f in api.storage_schema(compiled).fields for k, v in sorted(f.metadata.items())]
+    return spark.createDataFrame(rows, "field string, name string, value string")
+
+
+TAGS = {
+    "inferred": TAGGED,
+    "declared": '{"$defs":{"A":{"type":"object","required":["t"],"properties":{"t":{"const":"a"}}},"B":{"type":"object","required":["t"],"properties":{"t":{"const":"b"}}}},"oneOf":[{"$ref":"#/$defs/A"},{"$ref":"#/$defs/B"}],"discriminator":{"propertyName":"t","mapping":{"a":"A","b":"B"}}}',
+    "asserted": '{"$defs":{"A":{"type":"object","required":["t"],"properties":{"t":{"const":"a"}}},"B":{"type":"object","required":["t"],"properties":{"t":{"type":"string"}}}},"oneOf":[{"$ref":"#/$defs/A"},{"$ref":"#/$defs/B"}],"discriminator":{"propertyName":"t","mapping":{"a":"A","b":"#/$defs/B"}}}',
+}
+
+
+def tag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the property that tells a union's branches apart comes from, and how exact that is."""
+    found = {n: api.compile_schema(x) for n, x in TAGS.items()}
+    return spark.createDataFrame([(n, c.plan.route.source, c.plan.route.name, c.exactness.name) for n, c in found.items()], "schema_id string, source string, property string, exactness string")
+
+
+SIMPLER = {
+    "flattened": ('{"allOf":[{"allOf":[{"minimum":1}]},{"maximum":5}]}', '{"minimum":1,"maximum":5}'),
+    "covered": ('{"allOf":[{"minimum":1},{"minimum":3}]}', '{"minimum":3}'),
+    "contradiction": ('{"type":"string","allOf":[{"type":"number"}]}', "false"),
+    "twice not": ('{"not":{"not":{"type":"string"}}}', '{"type":"string"}'),
+    "unit any": ('{"anyOf":[{"type":"null"},true]}', "true"),
+    "disjoint one": ('{"oneOf":[{"type":"string"},{"type":"number"}]}', '{"anyOf":[{"type":"string"},{"type":"number"}]}'),
+    "same twice": ('{"oneOf":[{"minLength":2},{"minLength":2}]}', "false"),
+    "distributed": ('{"type":"string","oneOf":[{"pattern":"a"},{"pattern":"b"}]}', '{"oneOf":[{"type":"string","pattern":"a"},{"type":"string","pattern":"b"}]}'),
+    "other": ('{"minimum":1}', '{"exclusiveMinimum":1}'),
+}
+
+
+def simplified_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of schemas that the optimizer makes into one plan, and one pair that it must not."""
+    rows = [(n, api.compile_schema(a).plan == api.compile_schema(b).plan) for n, (a, b) in SIMPLER.items()]
+    return spark.createDataFrame(rows, "rule string, same boolean")
+
+
+def plan_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All plans inside a plan, by a fold over it."""
+    return api.plan_rows(spark, {"list": api.compile_schema('{"type":"array","items":{"type":"object","required":["t"],"properties":{"t":{"enum":["a","b"]}}},"maxItems":3}')}).select(F.col("at").alias("place"), "shape", "route", "tests", "residual")
+
+
+def reached_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The definitions that each plan reaches, through others and through itself."""
+    schemas = {"tree": CORPUS["list"], "chain": '{"$defs":{"a":{"$ref":"#/$defs/b"},"b":{"type":"array","items":{"$ref":"#/$defs/c"}},"c":{"type":"null"},"d":{}},"$ref":"#/$defs/a"}'}
+    rows = [(n, k) for n, x in schemas.items() for k in api.compile_schema(x).definitions]
+    return spark.createDataFrame(rows, "schema_id string, definition string")
+
+
+def inhabitation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive schemas that no finite value satisfies, and some that look alike."""
+    node = '{"$defs":{"N":%s},"$ref":"#/$defs/N"}'
+    schemas = {
+        "needs itself": node % '{"type":"object","required":["n"],"properties":{"n":{"$ref":"#/$defs/N"}}}',
+        "may have itself": node % '{"type":"object","properties":{"n":{"$ref":"#/$defs/N"}}}',
+        "empty list ends it": node % '{"type":"array","items":{"$ref":"#/$defs/N"}}',
+        "either ends it": node % '{"anyOf":[{"type":"null"},{"type":"object","required":["n"],"properties":{"n":{"$ref":"#/$defs/N"}}}]}',
+    }
+    rows = [(n, any("uninhabited" in d.message for d in api.compile_schema(x).diagnostics)) for n, x in schemas.items()]
+    return spark.createDataFrame(rows, "schema_id string, uninhabited boolean")
+
+
+def refused_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which schemas are refused instead of being run unsoundly."""
+
+    def refused(text: str) -> bool:
+        try:
+            api.check(spark.range(0).selectExpr("CAST(id AS VARIANT) AS v"), api.compile_schema(text), "v")
+        except api.Refused:
+            return True
+        return False
+
+    return spark.createDataFrame([(n, refused(x)) for n, x in CORPUS.items()], "schema_id string, refused boolean")
+
+
+def pattern_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ECMA-262 patterns on letters that other dialects see otherwise."""
+    rows = [("space", r"^\s$", "\u00a0", True), ("space", r"^\s$", "\ufeff", True), ("space", r"^\s$", "\x01", False), ("digit", r"^\d$", "٣", False), ("word", r"^\w$", "é", False), ("dot", "^.$", "\u2028", False), ("dot", "^.$", "\x85", True), ("end", "a$", "a\n", False), ("unicode", r"^\u0041$", "A", True)]
+    df = None
+    for name, pattern, text, _ in rows:
+        one = spark.createDataFrame([(name, text)], "name string, text string").withColumn("ok", F.lit(None).cast("boolean"))
+        one = api.check(one, api.compile_schema({"type": "string", "pattern": pattern}), "text", "ok").select("name", F.hex("text").alias("text"), "ok")
+        df = one if df is None else df.unionByName(one)
+    return df
+
+
+def plan_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a plan, line by line."""
+    text = dump.plan_text(api.compile_schema('{"type":"object","required":["t"],"properties":{"t":{"type":"string","maxLength":3}},"additionalProperties":false}').plan)
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
+
+
+def term_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a schema's term as it was read, line by line."""
+    library = Library()
+    node = library.add_document("", parse('{"anyOf":[{"type":"string","minLength":2},{"not":{"const":3}}]}'))
+    library.resolve()
+    return spark.createDataFrame(list(enumerate(dump.term_text(library.term(node.key)).split("\n"))), "line int, text string")
+
+
 def stream_valid_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship test over a stream of events, by day; all that is there, then it ends."""
     compiled = api.compile_schema(COUNTS["events_valid"].schema)
@@ -316,7 +426,8 @@ QUERIES: dict[str, Query] = {n: c.query for n, c in COUNTS.items()} | {
     for f in (
         unique_items, array_bounds, enum_broadcast, quarantine, project_typed, route_property, route_count, evaluate_reasons, invalid_values, sql_function,
         recursive_ref, catalog_capability, catalog_diagnostics, reference_graph, document_components, one_component, loaded_documents, finding_places, requirements, plan_graph,
-        storage_types, decoded_references, route_extremes, function_extremes, recursive_deep, format_never_rejects, typed_dates, top_rejected, stream_valid_rate,
+        storage_types, decoded_references, route_extremes, function_extremes, recursive_deep, format_never_rejects, typed_dates, top_rejected, nullable_keyword, annotations, tag_sources, simplified_terms,
+        plan_walk, reached_definitions, inhabitation, refused_plans, pattern_dialects, plan_dump, term_dump, stream_valid_rate,
     )
 }
 
@@ -364,5 +475,22 @@ SQL: dict[str, str] = {n: c.sql() for n, c in COUNTS.items()} | {
     "typed_dates": "SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1, 2",
     "top_rejected": """SELECT * FROM (SELECT o_orderstatus, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place, o_orderkey
   FROM orders WHERE o_totalprice > 300000) WHERE place <= 5""",
+    "nullable_keyword": "SELECT p_brand, count(*) AS n, count(*) FILTER (WHERE p_size > 25 OR length(p_brand) <= 7) AS n_valid FROM part GROUP BY 1",
+    "annotations": """SELECT * FROM (VALUES ('a', 'title', '"Name"'), ('a', 'xml', '{"attribute":true}'), ('a', 'x-unit', '"m"'), ('b', 'default', 'false'), ('b', 'deprecated', 'true')) t(field, name, value)""",
+    "tag_sources": "SELECT * FROM (VALUES ('inferred', 'inferred', 't', 'EXACT_WITH_VALIDATION'), ('declared', 'declared', 't', 'EXACT_WITH_VALIDATION'), ('asserted', 'asserted', 't', 'OVER_APPROXIMATION')) t(schema_id, source, property, exactness)",
+    "simplified_terms": """SELECT rule, rule <> 'other' AS same FROM (VALUES ('flattened'), ('covered'), ('contradiction'), ('twice not'), ('unit any'), ('disjoint one'), ('same twice'), ('distributed'), ('other')) t(rule)""",
+    "plan_walk": """SELECT place, shape, route, CAST(tests AS INT) AS tests, CAST(residual AS INT) AS residual FROM (VALUES
+  ('', 'Sequence', 'Straight', 3, 1), ('/items', 'Record', 'Straight', 3, 1), ('/items/property t', 'Scalar', 'ByLiteral', 0, 0),
+  ('/items/property t/value "a"', 'Scalar', 'ByLiteral', 1, 0), ('/items/property t/value "a"/value "a"', 'AnyShape', 'Straight', 0, 0),
+  ('/items/property t/value "b"', 'Scalar', 'ByLiteral', 1, 0), ('/items/property t/value "b"/value "b"', 'AnyShape', 'Straight', 0, 0),
+  ('/items/additional', 'AnyShape', 'Straight', 0, 0)) t(place, shape, route, tests, residual)""",
+    "reached_definitions": "SELECT * FROM (VALUES ('tree', '#'), ('tree', '#/$defs/tree'), ('chain', '#'), ('chain', '#/$defs/a'), ('chain', '#/$defs/b'), ('chain', '#/$defs/c')) t(schema_id, definition)",
+    "inhabitation": "SELECT * FROM (VALUES ('needs itself', true), ('may have itself', false), ('empty list ends it', false), ('either ends it', false)) t(schema_id, uninhabited)",
+    "refused_plans": f"SELECT schema_id, schema_id IN ('rest', 'dynamic', 'dangling', 'cycle') AS refused FROM (VALUES {', '.join(f"('{n}')" for n in CORPUS)}) t(schema_id)",
+    "pattern_dialects": """SELECT * FROM (VALUES ('space', 'C2A0', true), ('space', 'EFBBBF', true), ('space', '01', false), ('digit', 'D9A3', false), ('word', 'C3A9', false), ('dot', 'E280A8', false), ('dot', 'C285', true),
+  ('end', '610A', false), ('unicode', '41', true)) t(name, text, ok)""",
+    "plan_dump": """SELECT CAST(line AS INT) AS line, text FROM (VALUES (0, '{t} [TYPE_WITH_VALIDATION]'), (1, '  - is object'), (2, '  - properties [object]'), (3, '    property t: string [TYPE_WITH_VALIDATION]'), (4, '      - is string'),
+  (5, '      - maxLength 3 [string]'), (6, '    additional: nothing [DIRECT_TYPE]'), (7, '      - is none'), (8, '  - required (''t'',) [object]')) t(line, text)""",
+    "term_dump": "SELECT CAST(line AS INT) AS line, text FROM (VALUES (0, 'any of'), (1, '  all'), (2, '    kind string'), (3, '    minLength 2 [string]'), (4, '  not'), (5, '    equals 3')) t(line, text)",
     "stream_valid_rate": f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, count(*) FILTER (WHERE {K} BETWEEN 0 AND 50) AS n_valid FROM events GROUP BY 1",
 }
