@@ -12,9 +12,9 @@ shard's automaton is built where the text that can match it arrives:
 3. The segments of an anchor are a reference shard. A suffix automaton over them in order of documents
    has in every state the first document of its substrings; every segment streams through it, and the
    matching statistics, cut at the window's length, give each window's first document.
-4. A shard of more than SHARD_WORDS words is split first: its windows have the second least hash of
-   their runs as well, so equal windows stay together under both, and so on with the third. With all
-   eleven a shard holds one window, so every shard comes below the bound, and all go through automata.
+4. A shard of more than SHARD_WORDS words is split first: equal windows have the second and third least
+   hash of their runs as well, then the next three, then all. With all eleven a shard holds one window, so
+   every shard comes below the bound, and all go through automata.
 5. Each document gets back the windows whose first document is smaller, and drops the words they cover.
 """
 
@@ -35,6 +35,8 @@ from .common import WordHash, chunked, drop, grams, signed, table, words
 WINDOW, ANCHOR = 13, 3
 #: Words in one automaton at most; it takes 300 to 600 bytes of Python's memory a word.
 SHARD_WORDS = 16_384
+#: The ranks of hashes by which shards are split, level by level.
+RANKS = ((1, 3), (3, 6), (6, None))
 #: Windows in one segment at most; longer runs of one anchor (periodic texts) are cut.
 PIECE = 512
 
@@ -228,8 +230,8 @@ def first_documents(shards: DataFrame, window: int) -> DataFrame:
 
 
 def split(shards: DataFrame, window: int, level: int) -> DataFrame:
-    """h, s, doc, words of the parts of segments whose windows share their level-th least hash too; of (whose) h0 and s0, from window `at` on."""
-    width = window - ANCHOR + 1
+    """h, s, doc, words of the parts of segments whose windows share the hashes of the level's ranks too; h0 and s0 of the segment, and the window `at` which the part starts."""
+    width, ranks = window - ANCHOR + 1, slice(*RANKS[level])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -238,8 +240,8 @@ def split(shards: DataFrame, window: int, level: int) -> DataFrame:
             for h, s, doc, text in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "doc", "words"))):
                 t = text.split(b" ")
                 g = grams(hashes.flat([t])[0], ANCHOR)
-                key = np.sort(np.lib.stride_tricks.sliding_window_view(g, width), 1)[:, level - 1]
-                cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+                key = np.sort(np.lib.stride_tricks.sliding_window_view(g, width), 1)[:, ranks]
+                cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
                 for a, b in zip(cuts, cuts[1:]):
                     part = b" ".join(t[a : b + window - 1])
                     below = named(h.to_bytes(8, "little", signed=True) + key[a].tobytes())
@@ -251,17 +253,17 @@ def split(shards: DataFrame, window: int, level: int) -> DataFrame:
     return shards.select("h", "s", "doc", "words").mapInArrow(cut, "h bigint, s bigint, doc bigint, words binary, h0 bigint, s0 bigint, at int")
 
 
-def resolved(cut: DataFrame, spark: SparkSession, window: int, level: int = 1) -> DataFrame:
+def resolved(cut: DataFrame, spark: SparkSession, window: int, level: int = 0) -> DataFrame:
     """h, s, firsts (the first document of each window) of the segments in (h, s, doc, words); a table."""
     size = F.size(F.split(F.col("words").cast("string"), " "))
     shards = table(cut.groupBy("h", "s").agg(F.min("doc").alias("doc"), F.first("words").alias("words")), spark)
     large = shards.groupBy("h").agg(F.sum(size).alias("n"), F.count("*").alias("m")).where((F.col("n") > SHARD_WORDS) & (F.col("m") > 1)).select(F.col("h").alias("k"))
     large = table(large, spark)
-    if level == window - ANCHOR + 1 or large.isEmpty():
+    if level == len(RANKS) or large.isEmpty():
         out = table(first_documents(shards, window), spark)
     else:
         usual = table(first_documents(shards.join(large, F.col("h") == F.col("k"), "left_anti"), window), spark)
-        parts = table(split(shards.join(large, F.col("h") == F.col("k"), "left_semi"), window, level + 1), spark)
+        parts = table(split(shards.join(large, F.col("h") == F.col("k"), "left_semi"), window, level), spark)
         below = resolved(parts.select("h", "s", "doc", "words"), spark, window, level + 1).select(F.col("h").alias("k"), F.col("s").alias("t"), "firsts")
         found = parts.select("h", "s", "h0", "s0", "at").join(below, (F.col("h") == F.col("k")) & (F.col("s") == F.col("t")))
         found = found.groupBy(F.col("h0").alias("h"), F.col("s0").alias("s")).agg(F.array_sort(F.collect_list(F.struct("at", "firsts"))).alias("f"))
