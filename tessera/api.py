@@ -122,8 +122,10 @@ def _stepped(df: DataFrame, low: lower.Lowered) -> DataFrame:
 
 def _prefix(df: DataFrame) -> str:
     """A prefix that no column's name has."""
-    taken = [c.lower() for c in df.columns]
-    return next(p for n in range(len(taken) + 1) if not any(c.startswith(p := f"_t{n}_") for c in taken))
+    n = 0
+    while any(c.lower().startswith(f"_t{n}_") for c in df.columns):
+        n += 1
+    return f"_t{n}_"
 
 
 def check(df: DataFrame, compiled: Compiled, column: str, into: str = "accepted", text: str | None = None, exact: bool = True) -> DataFrame:
