@@ -266,7 +266,7 @@ def verified(reps: DataFrame, docs: DataFrame, edges: DataFrame, spark: SparkSes
     """cls, links, to: partial sums of linked documents, and (where `to` isn't null) edges of forests of the links."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pruner, hashes = Pruner(threshold), WordHash()
+        pruner = Pruner(threshold)
         for group in grouped(batches, 3):
             x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
             cls, first = np.unique(group.column("cls").to_numpy(), return_index=True)  # repeated rows of one document
