@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 from enum import Enum, IntEnum
+from functools import cached_property
 from typing import TypeVar
 
 from .source import Diagnostic
@@ -219,6 +220,10 @@ PREDICATES = (
 )
 
 
+#: Predicates with plans inside.
+NESTED = (ContainsCount, Negation, Conforms, ObjectStructure, ArrayStructure, Reference, PropertyNames)
+
+
 @dataclass(frozen=True)
 class Test:
     """A predicate for values of the guard's kinds. Without a predicate the kind itself is asserted."""
@@ -283,6 +288,11 @@ class Plan:
     refs: str = "resolved"  # resolved, static or dynamic
     meta: Meta = field(default=Meta(), compare=False)
 
+    @cached_property
+    def flat(self) -> bool:
+        """Whether no other plan decides: all tests are of the value itself."""
+        return isinstance(self.route, Straight) and not any(isinstance(x.predicate, NESTED) for x in self.tests)
+
     def residual(self) -> tuple[Test, ...]:
         """Tests that the storage shape does not imply."""
         return tuple(x for x in self.tests if not implied(self.shape, x.predicate))

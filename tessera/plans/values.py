@@ -87,6 +87,8 @@ class _Name:
 
 
 def is_integer(value: Any) -> bool:
+    if isinstance(value, int):
+        return True
     shape = canonical(value)
     return shape[3] >= 0
 
