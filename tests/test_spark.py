@@ -114,7 +114,7 @@ def test_tables_of_findings(spark):
     assert api.diagnostics(spark, found).where("severity = 'error'").count() == 1
     assert api.plan_rows(spark, found).count() == 2
     edges = api.reference_edges(spark, queries.CORPUS["list"])
-    assert edges.where("recursion = 'guarded'").count() >= 2 and edges.where("descent").count() == 1
+    assert edges.where("recursion = 'guarded'").count() == 3 and edges.where("descent").count() == 2
     assert [r.branch for r in api.branches(spark, api.compile_schema(queries.TAGGED)).collect()] == ['t = "click"', 't = "view"']
 
 
