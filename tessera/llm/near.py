@@ -35,7 +35,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 VALUES, STEP = 200, 20
 #: What banding may miss of pairs at the threshold, and what a step of pruning may.
 MISSED, TOLERANCE = 2e-7, 1e-6
-BLOCK = 1024
+BLOCK = 512
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
