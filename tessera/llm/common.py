@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 from itertools import chain
 
 import numpy as np
@@ -59,6 +61,31 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def released(f):
+    """The function over batches for mapInArrow; its worker gives memory back to the system when a task has ended.
+
+    Spark keeps idle workers, and starts more where short tasks overlap; each would keep what its largest task took.
+    """
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Memory that is free in Arrow's pool and in malloc's heaps goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def carried(df: DataFrame, keep: tuple[str, ...]) -> tuple[list[str], str]:
     """Columns to pass through beside those an operator reads, and their part of a schema."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import carried, chunked
+from .common import carried, chunked, released
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -127,7 +127,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE) -> Model:
         out += [(lang, name, n) for (lang, name), n in letters.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or ((), (), ()), (pa.string(), pa.string(), pa.int64()))], names=["lang", "key", "n"])
 
-    counted = sample(labelled, most).mapInArrow(count, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    counted = sample(labelled, most).mapInArrow(released(count), "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     langs = sorted({r["lang"] for r in counted})
     counts, letters = np.zeros((BUCKETS, len(langs))), defaultdict(Counter)
     for r in counted:
@@ -263,7 +263,7 @@ def label(docs: DataFrame, spark: SparkSession, model: Model, penalty: float = S
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, pa.string())], names=[*rest, "doc_id", "lang_pred", "score", "spans"])
 
     kept = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(c for c in rest if c != "text"))
-    return kept.mapInArrow(run, schema + SCHEMA)
+    return kept.mapInArrow(released(run), schema + SCHEMA)
 
 
 def held_out(doc_id: Column) -> Column:

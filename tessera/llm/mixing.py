@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunked, table, words
+from .common import chunked, released, table, words
 
 # Weights repeat over the sources in order; a source is taken at most so many times.
 WEIGHTS = (1, 2, 3)
@@ -33,7 +33,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n, batch.column("hash")], names=["doc_id", "source", "size", "hash"])
 
     kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), hashed().alias("hash"))
-    return kept.mapInArrow(count, "doc_id bigint, source string, size bigint, hash bigint")
+    return kept.mapInArrow(released(count), "doc_id bigint, source string, size bigint, hash bigint")
 
 
 def hashed() -> Column:

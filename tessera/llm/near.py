@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, carried, chunked, grams, mix, packed, signed, table, words
+from .common import WordHash, carried, chunked, grams, mix, packed, released, signed, table, words
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -218,7 +218,7 @@ def classes(docs: DataFrame, spark: SparkSession, keep: tuple[str, ...] = ()) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), batch.column("doc_id"), *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)), sig], names=[*rest, "doc_id", "h1", "h2", "sig"])
 
     read = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(c for c in rest if c != "text"))
-    rows = read.mapInArrow(sign, schema + "doc_id bigint, h1 bigint, h2 bigint, sig binary")
+    rows = read.mapInArrow(released(sign), schema + "doc_id bigint, h1 bigint, h2 bigint, sig binary")
     rows = table(rows.withColumn("row", F.monotonically_increasing_id()), spark)
     known = rows.where("h1 is not null and doc_id is not null")
     # The signature comes back by a join with one row of the class: sums without binary values form before the shuffle.
@@ -253,13 +253,13 @@ def candidate_edges(reps: DataFrame, spark: SparkSession, threshold: float = THR
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    keys = table(reps.select("cls", "sig").mapInArrow(bands, "key bigint, cls bigint"), spark)
+    keys = table(reps.select("cls", "sig").mapInArrow(released(bands), "key bigint, cls bigint"), spark)
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("h2"))
     groups = groups.where("n > 1").groupBy("n", "m", "h1", "h2").agg(F.min("key").alias("k"))
     members = keys.join(groups.select("k", "n"), F.col("key") == F.col("k")).select("key", "cls", "n")
     members = members.join(reps.select(F.col("cls").alias("c"), "sig"), F.col("cls") == F.col("c"))
     members = dealt(members, "key", "n", "cls").select("key", "x", "y", "mine", "cls", "sig")
-    return members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(prune, "a bigint, b bigint").distinct()
+    return members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(released(prune), "a bigint, b bigint").distinct()
 
 
 def verified(reps: DataFrame, docs: DataFrame, edges: DataFrame, spark: SparkSession, threshold: float = THRESHOLD) -> DataFrame:
@@ -302,9 +302,9 @@ def verified(reps: DataFrame, docs: DataFrame, edges: DataFrame, spark: SparkSes
     found = found.join(reps, F.col("node") == F.col("cls")).select("component", "n", "cls", "h1", "h2", F.col("doc_id").alias("d"), "copies", "sig")
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     rows = texts.join(found, F.col("doc_id") == F.col("d")).drop("d", "doc_id")
-    rows = rows.mapInArrow(fetch, "component bigint, n bigint, cls bigint, copies bigint, sig binary, shingles binary")
+    rows = rows.mapInArrow(released(fetch), "component bigint, n bigint, cls bigint, copies bigint, sig binary, shingles binary")
     rows = dealt(rows, "component", "n", "cls").select("component", "x", "y", "mine", "cls", "copies", "sig", "shingles")
-    return rows.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(verify, "cls bigint, links bigint, to bigint")
+    return rows.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(released(verify), "cls bigint, links bigint, to bigint")
 
 
 def linked(docs: DataFrame, spark: SparkSession, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

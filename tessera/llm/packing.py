@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import chunked
+from .common import chunked, released
 
 CAPACITY = 4096
 #: Parts of texts after which a worker's cache of ids starts anew.
@@ -191,4 +191,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
         if rows:
             yield placed(rows)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(released(run), SCHEMA)

@@ -20,7 +20,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import carried, chunked
+from .common import carried, chunked, released
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -247,4 +247,4 @@ def scan_secrets(docs: DataFrame, mark: str = "[REDACTED]", with_text: bool = Tr
             )
 
     kept = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(c for c in rest if c != "text"))
-    return kept.mapInArrow(scan, schema + SCHEMA)
+    return kept.mapInArrow(released(scan), schema + SCHEMA)

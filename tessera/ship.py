@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that Spark hands to a worker, where the session has Spark's own 64 MB; both sides hold whole batches.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def ship(spark: SparkSession | None = None) -> None:
@@ -31,12 +33,18 @@ def ship(spark: SparkSession | None = None) -> None:
     _shipped.add(context.applicationId)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shipped(query):
-    """The function (spark, ...) with the package sent first."""
+    """The function (spark, ...) with the package sent first and batches bounded."""
 
     @wraps(query)
     def run(spark: SparkSession, *rest):
         ship(spark)
+        bound_batches(spark)
         return query(spark, *rest)
 
     return run

@@ -84,3 +84,44 @@ def test_run(spark, sf_dir):
 def test_empty_corpus(spark, make, tmp_path):
     make([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_give_memory_back():
+    """What a task took in small blocks goes back to the system when it ends, even below a block that stays."""
+    from tessera.llm.common import released
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    stays = []
+
+    def task(batches):
+        held = [b"x" * 60_000 for _ in range(4000)]
+        stays.append(b"x" * 60_000)
+        yield resident() + 0 * len(held)
+
+    most = list(released(task)(iter(())))[0]
+    assert resident() < most - 180_000_000
+
+
+def test_batches_are_bounded(spark):
+    from tessera import ship
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    before = spark.conf.get(ship.BATCH_SETTING)
+    try:
+        spark.conf.unset(ship.BATCH_SETTING)
+        ship.shipped(lambda spark: None)(spark)
+        large = spark.range(0, 10_000, 1, 1).selectExpr("repeat('x', 4000) t").mapInArrow(sizes, "n bigint")
+        assert max(r["n"] for r in large.collect()) < 20_000_000
+        spark.conf.set(ship.BATCH_SETTING, "1000000")  # one's own setting stays
+        ship.shipped(lambda spark: None)(spark)
+        assert spark.conf.get(ship.BATCH_SETTING) == "1000000"
+    finally:
+        spark.conf.set(ship.BATCH_SETTING, before)
