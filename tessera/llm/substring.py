@@ -5,8 +5,9 @@ is its own reference, no automaton over all of it could be broadcast within a si
 shard's automaton is built where the text that can match it arrives:
 
 1. A window's anchor is the least hash of its 11 runs of three words. Equal windows have equal anchors,
-   so only anchors that several documents have can hold duplicates. (anchor, document) pairs are the
-   only thing that is shuffled for the whole corpus.
+   so only anchors that several documents have can hold duplicates. Each chunk of texts gives its anchors,
+   with the least and greatest document of each, to the buckets of their leading bits, and gets back
+   those that several documents have.
 2. Documents cut out the segments (runs of windows with one anchor) whose anchors are shared; equal
    segments become one, with the least document.
 3. The segments of an anchor are a reference shard. A suffix automaton over them in order of documents
@@ -14,27 +15,34 @@ shard's automaton is built where the text that can match it arrives:
    matching statistics, cut at the window's length, give each window's first document.
 4. A shard of more than SHARD_WORDS words is split first: equal windows have the second and third least
    hash of their runs as well, then the next three, then all. With all eleven a shard holds one window, so
-   every shard comes below the bound, and all go through automata.
+   every shard comes below the bound, and all go through automata. A part that is there once and alone in
+   its shard has no equal.
 5. Each document gets back the windows whose first document is smaller, and drops the words they cover.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunked, drop, grams, signed, table, words
+from .common import WordHash, chunked, drop, grams, released, signed, table
+from .near import grouped
 
 WINDOW, ANCHOR = 13, 3
 #: Words in one automaton at most; it takes 300 to 600 bytes of Python's memory a word.
 SHARD_WORDS = 16_384
+#: The leading bits of an anchor that tell its bucket; the anchors of a bucket are looked at together.
+BUCKET_BITS = 10
 #: The ranks of hashes by which shards are split, level by level.
 RANKS = ((1, 3), (3, 6), (6, None))
 #: Windows in one segment at most; longer runs of one anchor (periodic texts) are cut.
@@ -129,34 +137,65 @@ def anchors(flat: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple
     return least[cut], doc[cut], at[cut] - starts[doc[cut]], np.diff(np.append(cut, len(at)))
 
 
-def zipped(docs: DataFrame) -> DataFrame:
-    """doc_id, z: the texts compressed, as they are shuffled twice."""
-
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(level=3)
-        for batch in chunked(batches):
-            z = [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(shrink, "doc_id bigint, z binary")
-
-
-def _unzip(batch: pa.RecordBatch) -> list[list[bytes]]:
-    d = zstandard.ZstdDecompressor()
-    return [d.decompress(z).split() for z in batch.column("z").to_pylist()]
-
-
-def occurrences(docs: DataFrame, window: int) -> DataFrame:
-    """h, doc_id: the anchors of each document."""
+def texts_and_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """Rows of two kinds for each chunk of docs: its texts (ids, sizes in bytes, z: the texts compressed), and for each bucket of hashes the distinct anchors (h) with their least and greatest document in it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes, c = WordHash(), zstandard.ZstdCompressor(level=3)
         for batch in chunked(batches):
-            h, doc, _, _ = anchors(*hashes.flat([words(t) for t in batch.column("text").to_pylist()]), window)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column("doc_id").take(pa.array(doc))], names=["h", "doc_id"])
-
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null")
-    return rows.mapInArrow(find, "h bigint, doc_id bigint")
+            chunk = int.from_bytes(os.urandom(8), "little") >> 1
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            sizes = pa.array([list(map(len, texts))], pa.list_(pa.int64()))
+            ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+            yield made([chunk], [None], ids, sizes, [c.compress(b"".join(texts))], [None], [None], [None])
+            known = np.flatnonzero(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            h, doc, _, _ = anchors(*hashes.flat([texts[i].split() for i in known]), window)
+            if not len(h):
+                continue
+            ids = batch.column("doc_id").drop_null().to_numpy().astype(np.int64)[doc]
+            order = np.argsort(h)
+            h, ids = h[order], ids[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, low, high = h[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+            bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)  # ascending, as h is
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(h)).tolist()
+            parts = [[x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for x in (h, low, high)]
+            n = len(cuts) - 1
+            none = pa.nulls(n, pa.list_(pa.int64()))
+            yield made([chunk] * n, bucket[cuts[:-1]], none, none, [None] * n, *parts)
+
+    def made(chunk: list, bucket: list, ids: pa.Array, sizes: pa.Array, *binary: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), ids, sizes, *(pa.array(x, pa.binary()) for x in binary)], names=["chunk", "bucket", "ids", "sizes", "z", "h", "low", "high"])
+
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    return rows.mapInArrow(released(find), "chunk bigint, bucket int, ids array<bigint>, sizes array<bigint>, z binary, h binary, low binary, high binary")
+
+
+def shared_anchors(rows: DataFrame) -> DataFrame:
+    """chunk, anchors: for (bucket, chunk, h, low, high) those anchors of a chunk that several documents of the corpus have."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 1):
+            parts = group.column("h").to_pylist()
+            h, low, high = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("low", np.int64), ("high", np.int64)))
+            order = np.argsort(h)
+            new = np.concatenate([[True], np.diff(h[order]) != 0])
+            first = np.flatnonzero(new)
+            several = np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first)
+            mark = np.zeros(len(h), bool)
+            mark[order] = several[np.cumsum(new) - 1]
+            cuts = np.cumsum([0, *(len(x) // 8 for x in parts)])
+            found = [h[i:j][mark[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+            out = pa.RecordBatch.from_arrays([group.column("chunk").combine_chunks(), pa.array(found, pa.binary())], names=["chunk", "anchors"])
+            yield out.filter(pc.greater(pc.binary_length(out.column("anchors")), 0))
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(share), "chunk bigint, anchors binary")
+
+
+def _unzip(sizes: list[int], z: bytes) -> list[list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(z) if sum(sizes) else b""
+    ends = list(accumulate(sizes, initial=0))
+    return [raw[a:b].split() for a, b in zip(ends, ends[1:])]
 
 
 def pieces(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,61 +211,71 @@ def named(text: bytes) -> int:
 
 
 def segments(wanted: DataFrame, window: int) -> DataFrame:
-    """h, s, doc_id, start, words of the segments of (doc_id, z, anchors) whose anchors are wanted."""
+    """h, s, chunk, row, doc_id, start, words of the segments of (chunk, ids, sizes, z, anchors) whose anchors are among those; row counts a chunk's documents."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in chunked(batches, "z", 1 << 20):
-            docs = _unzip(batch)
-            h, doc, start, n = anchors(*hashes.flat(docs), window)
-            sets = [np.frombuffer(a.values.to_numpy(), np.int64) for a in batch.column("anchors")]
-            want = np.zeros(len(h), bool)
-            cuts = np.searchsorted(doc, np.arange(len(docs) + 1))
-            for i, s in enumerate(sets):
-                want[cuts[i] : cuts[i + 1]] = np.isin(signed(h[cuts[i] : cuts[i + 1]]), s)
-            at = np.flatnonzero(want)
+        for batch in chunked(batches, "z", 1):
+            chunk, ids = batch.column("chunk")[0].as_py(), np.array([-1 if i is None else i for i in batch.column("ids")[0].as_py()], np.int64)
+            rows = [i for i, d in enumerate(batch.column("ids")[0].as_py()) if d is not None]
+            docs = _unzip(batch.column("sizes")[0].as_py(), batch.column("z")[0].as_py())
+            docs = [docs[i] for i in rows]
+            flat, starts = hashes.flat(docs)
+            h, doc, start, n = anchors(flat, starts, window)
+            at = np.flatnonzero(np.isin(h, np.frombuffer(b"".join(batch.column("anchors")[0].as_py()), np.uint64)))
             h, doc, start, n = pieces(h[at], doc[at], start[at], n[at])
-            text = [b" ".join(docs[d][a : a + k + window - 1]) for d, a, k in zip(doc.tolist(), start.tolist(), n.tolist())]
-            s = list(map(named, text))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(s, pa.int64()), batch.column("doc_id").take(pa.array(doc)), pa.array(start, pa.int32()), pa.array(text, pa.binary())], names=["h", "s", "doc_id", "start", "words"])
-
-    return wanted.mapInArrow(cut, "h bigint, s bigint, doc_id bigint, start int, words binary")
+            text = b" ".join(chain.from_iterable(docs))
+            ends = np.cumsum(np.fromiter(map(len, chain.from_iterable(docs)), np.int64, len(flat)) + 1)  # of words, with the space
+            first = starts[doc] + start
+            low, high = np.where(first > 0, ends[first - 1], 0), ends[first + n + window - 2] - 1
+            row = np.array(rows, np.int32)[doc]
+            for i in range(0, len(h), 50_000):
+                part = slice(i, i + 50_000)
+                found = [text[x:y] for x, y in zip(low[part].tolist(), high[part].tolist())]
+                s = list(map(named, found))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(h[part])), pa.array(s, pa.int64()), pa.array([chunk] * len(s), pa.int64()), pa.array(row[part]), pa.array(ids[row[part]]), pa.array(start[part], pa.int32()), pa.array(found, pa.binary())],
+                    names=["h", "s", "chunk", "row", "doc_id", "start", "words"],
+                )
+
+    return wanted.mapInArrow(released(cut), "h bigint, s bigint, chunk bigint, row int, doc_id bigint, start int, words binary")
 
 
 def first_documents(shards: DataFrame, window: int) -> DataFrame:
-    """h, s, firsts (the first document of each window) for segments (h, s, doc, words), by automata."""
+    """h, s, firsts (the first document of each window) for segments (h, s, doc, words, times), by automata; none for a segment that is there once and alone in its shard."""
 
-    def shard(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, list[int]]]:
+    def shard(rows: list[tuple[int, int, int, bytes, int]]) -> Iterator[tuple[int, int, list[int]]]:
         if len(rows) == 1:  # what is in one segment only starts in its document
-            h, s, doc, text = rows[0]
-            yield h, s, [doc] * (text.count(b" ") + 2 - window)
+            h, s, doc, text, times = rows[0]
+            if times > 1:
+                yield h, s, [doc] * (text.count(b" ") + 2 - window)
             return
-        split = [t.split(b" ") for *_, t in rows]
+        split = [t.split(b" ") for *_, t, _ in rows]
         automaton = SuffixAutomaton()
-        for (_, _, doc, _), t in zip(rows, split):
+        for (_, _, doc, *_), t in zip(rows, split):
             automaton.add(t, doc)
-        for (h, s, _, _), t in zip(rows, split):
+        for (h, s, *_), t in zip(rows, split):
             yield h, s, [first for n, first in automaton.matching(t, window) if n == window]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes, int]] = []
         for batch in batches:
             out: list[tuple[int, int, list[int]]] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "doc", "words"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "doc", "words", "times"))):
                 if held and row[0] != held[0][0]:
                     out += shard(held)
                     held = []
                 held.append(row)
             if out:
                 yield found(out)
-        if held:
-            yield found(list(shard(held)))
+        if held and (out := list(shard(held))):
+            yield found(out)
 
     def found(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["h", "s", "firsts"])
 
-    ordered = shards.select("h", "s", "doc", "words").repartition("h").sortWithinPartitions("h", "doc", "s")
-    return ordered.mapInArrow(match, "h bigint, s bigint, firsts array<bigint>")
+    ordered = shards.select("h", "s", "doc", "words", "times").repartition("h").sortWithinPartitions("h", "doc", "s")
+    return ordered.mapInArrow(released(match), "h bigint, s bigint, firsts array<bigint>")
 
 
 def split(shards: DataFrame, window: int, level: int) -> DataFrame:
@@ -250,24 +299,42 @@ def split(shards: DataFrame, window: int, level: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["h", "s", "doc", "words", "h0", "s0", "at"])
 
-    return shards.select("h", "s", "doc", "words").mapInArrow(cut, "h bigint, s bigint, doc bigint, words binary, h0 bigint, s0 bigint, at int")
+    return shards.select("h", "s", "doc", "words").mapInArrow(released(cut), "h bigint, s bigint, doc bigint, words binary, h0 bigint, s0 bigint, at int")
+
+
+def filled(large: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """h, s, firsts of the segments (h, s, doc, words): what `found` (h0, s0, at, firsts) has of their parts; windows of other parts are in no other segment, so they start in its document."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc", "words", "f"))):
+                firsts = [doc] * (text.count(b" ") + 2 - window)
+                for p in parts or ():
+                    firsts[p["at"] : p["at"] + len(p["firsts"])] = p["firsts"]
+                out.append(firsts)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("s"), pa.array(out, pa.list_(pa.int64()))], names=["h", "s", "firsts"])
+
+    found = found.groupBy("h0", "s0").agg(F.collect_list(F.struct("at", "firsts")).alias("f"))
+    rows = large.join(found, (F.col("h") == F.col("h0")) & (F.col("s") == F.col("s0")), "left").select("h", "s", "doc", "words", "f")
+    return rows.mapInArrow(released(fill), "h bigint, s bigint, firsts array<bigint>")
 
 
 def resolved(cut: DataFrame, spark: SparkSession, window: int, level: int = 0) -> DataFrame:
-    """h, s, firsts (the first document of each window) of the segments in (h, s, doc, words); a table."""
+    """h, s, firsts (the first document of each window) of the segments in (h, s, doc, words); a table. Segments that are there once and alone in their shards are left out."""
     size = F.size(F.split(F.col("words").cast("string"), " "))
-    shards = table(cut.groupBy("h", "s").agg(F.min("doc").alias("doc"), F.first("words").alias("words")), spark)
+    shards = table(cut.groupBy("h", "s").agg(F.min("doc").alias("doc"), F.first("words").alias("words"), F.count("*").alias("times")), spark)
     large = shards.groupBy("h").agg(F.sum(size).alias("n"), F.count("*").alias("m")).where((F.col("n") > SHARD_WORDS) & (F.col("m") > 1)).select(F.col("h").alias("k"))
     large = table(large, spark)
     if level == len(RANKS) or large.isEmpty():
         out = table(first_documents(shards, window), spark)
     else:
         usual = table(first_documents(shards.join(large, F.col("h") == F.col("k"), "left_anti"), window), spark)
-        parts = table(split(shards.join(large, F.col("h") == F.col("k"), "left_semi"), window, level), spark)
+        among = shards.join(large, F.col("h") == F.col("k"), "left_semi")
+        parts = table(split(among, window, level), spark)
         below = resolved(parts.select("h", "s", "doc", "words"), spark, window, level + 1).select(F.col("h").alias("k"), F.col("s").alias("t"), "firsts")
-        found = parts.select("h", "s", "h0", "s0", "at").join(below, (F.col("h") == F.col("k")) & (F.col("s") == F.col("t")))
-        found = found.groupBy(F.col("h0").alias("h"), F.col("s0").alias("s")).agg(F.array_sort(F.collect_list(F.struct("at", "firsts"))).alias("f"))
-        out = table(usual.unionByName(found.select("h", "s", F.flatten("f.firsts").alias("firsts"))), spark)
+        found = parts.select("h", "s", "h0", "s0", "at").join(below, (F.col("h") == F.col("k")) & (F.col("s") == F.col("t"))).select("h0", "s0", "at", "firsts")
+        out = table(usual.unionByName(filled(among, found, window)), spark)
         drop(parts, spark)
         drop(usual, spark)
     drop(shards, spark)
@@ -285,38 +352,41 @@ def drop_repeats(docs: DataFrame, spark: SparkSession, window: int = WINDOW, wit
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, "z", 1 << 20):
+        for batch in chunked(batches, "z", 1):
             rows = []
-            for ws, at in zip(_unzip(batch), batch.column("at").to_pylist()):
+            docs, ids = _unzip(batch.column("sizes")[0].as_py(), batch.column("z")[0].as_py()), batch.column("ids")[0].as_py()
+            places_of: dict[int, list] = {}
+            for x in batch.column("at")[0].as_py() or ():
+                places_of.setdefault(x["row"], []).append(x["places"])
+            for i, ws in enumerate(docs):
                 removed = 0
-                if at:
+                if at := places_of.get(i):
                     gone = np.zeros(len(ws) + 1, np.int32)
                     places = np.unique(np.concatenate([np.asarray(a, np.int64) for a in at]))
                     gone[places] += 1
                     np.add.at(gone, np.minimum(places + window, len(ws)), -1)
                     left = np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()
-                    removed, kept = len(ws) - len(left), b" ".join([ws[i] for i in left])
+                    removed, kept = len(ws) - len(left), b" ".join([ws[j] for j in left])
                 else:
                     kept = b" ".join(ws)
-                rows.append((len(ws), removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    found = table(occurrences(docs, window), spark)
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(F.col("h").alias("k"))
-    lists = found.join(shared, F.col("h") == F.col("k")).groupBy("doc_id").agg(F.collect_set("h").alias("anchors")).withColumnRenamed("doc_id", "d")
-    lists = table(lists, spark)
-    drop(found, spark)
-    texts = zipped(docs)
-    wanted = texts.join(lists, F.col("doc_id") == F.col("d")).select("doc_id", "z", "anchors")
+                rows.append((ids[i], len(ws), removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    both = table(texts_and_anchors(docs, window), spark)
+    texts = table(both.where("bucket is null").select("chunk", "ids", "sizes", "z"), spark)
+    lists = shared_anchors(both.where("bucket is not null").select("bucket", "chunk", "h", "low", "high"))
+    lists = table(lists.groupBy(F.col("chunk").alias("c")).agg(F.collect_list("anchors").alias("anchors")), spark)
+    drop(both, spark)
+    wanted = texts.join(lists, F.col("chunk") == F.col("c")).select("chunk", "ids", "sizes", "z", "anchors")
     cut = table(segments(wanted, window), spark)
     drop(lists, spark)
 
     firsts = resolved(cut.select("h", "s", F.col("doc_id").alias("doc"), "words"), spark, window).select(F.col("h").alias("k"), F.col("s").alias("t"), "firsts")
     places = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    hits = cut.select("h", "s", "doc_id", "start").join(firsts, (F.col("h") == F.col("k")) & (F.col("s") == F.col("t"))).select("doc_id", places.alias("places"))
-    hits = hits.where(F.size("places") > 0).groupBy("doc_id").agg(F.collect_list("places").alias("at")).withColumnRenamed("doc_id", "d")
+    hits = cut.select("h", "s", "chunk", "row", "doc_id", "start").join(firsts, (F.col("h") == F.col("k")) & (F.col("s") == F.col("t"))).select(F.col("chunk").alias("c"), "row", places.alias("places"))
+    hits = hits.where(F.size("places") > 0).groupBy("c").agg(F.collect_list(F.struct("row", "places")).alias("at"))
     hits = table(hits, spark)
     drop(cut, spark)
-    joined = texts.join(hits, F.col("doc_id") == F.col("d"), "left").select("doc_id", "z", "at")
-    return joined.mapInArrow(keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    joined = texts.join(hits, F.col("chunk") == F.col("c"), "left").select("ids", "sizes", "z", "at")
+    return joined.mapInArrow(released(keep), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")

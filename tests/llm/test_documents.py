@@ -360,6 +360,28 @@ def test_substring_of_long_periodic_texts(spark, make):
     assert got == {1: (1_050_000, 0), 2: (1_050_006, 1_050_000), 3: (1_000_000, 0), 4: (20, 20)}
 
 
+def test_substring_of_large_shards_joins_what_is_shared(spark):
+    """A segment that is there once and alone in its shard gives no row to join; one that several have does, and so do different ones of a shard."""
+    text = [" ".join(f"{x}{i}" for i in range(13)).encode() for x in "abcd"]
+    shards = spark.createDataFrame([(1, 1, 7, text[0], 1), (2, 2, 8, text[1], 2), (3, 3, 4, text[2], 1), (3, 4, 5, text[3] + b" " + text[2], 1)], "h long, s long, doc long, words binary, times long")
+    got = {(r["h"], r["s"]): r["firsts"] for r in substring.first_documents(shards, 13).collect()}
+    assert got == {(2, 2): [8], (3, 3): [4], (3, 4): [5] * 13 + [4]}
+
+
+def test_anchors_of_several_documents(spark, make):
+    """Chunks get back those of their anchors that several documents have, in whichever chunks those are."""
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, f"{' '.join(f'u{i}x{j}' for j in range(30))} {common}" if i < 4 else " ".join(f"u{i}x{j}" for j in range(30)), "en", "s") for i in range(8)] + [(None, common, "en", "s")]
+    both = substring.texts_and_anchors(make(rows), 13)
+    both = spark.createDataFrame(both.collect(), both.schema)
+    got = set()
+    for r in substring.shared_anchors(both.where("bucket is not null").select("bucket", "chunk", "h", "low", "high")).collect():
+        got |= set(np.frombuffer(r["anchors"], np.uint64).tolist())
+    one = lambda text: set(substring.anchors(*WordHash().flat([words(text)]))[0].tolist())
+    assert one(common) <= got
+    assert not any(one(" ".join(f"u{i}x{j}" for j in range(30))) & got for i in range(4, 8))
+
+
 def test_pieces():
     h, doc, start, n = substring.pieces(np.array([5, 6], np.uint64), np.array([0, 1]), np.array([10, 3]), np.array([1030, 4]))
     assert h.tolist() == [5, 5, 5, 6] and doc.tolist() == [0, 0, 0, 1] and start.tolist() == [10, 522, 1034, 3] and n.tolist() == [512, 512, 6, 4]
